@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("pairing",)
+FAMILIES = ("pairing", "cleaning", "identity", "sessions")
 
 
 def all_queries():

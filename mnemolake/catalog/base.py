@@ -190,3 +190,44 @@ qa AS (SELECT host, session_id, turn_id, question, answer,
    CASE WHEN q_event = '' THEN 'derived:' || host || ':' || session_id || ':turn-' || turn_id ELSE q_event END AS q_event_id,
    nullif(q_ts, '') AS occurred_at FROM emitted)
 """
+
+
+# --- document variants -------------------------------------------------------
+def planted(t: Tables, cases: dict[int, tuple[str, str]], mod: int) -> DataFrame:
+    """Documents as (doc_id, c): text between the prefix and suffix chosen by ``doc_id % mod``."""
+    c = F.col("text")
+    for k, (before, after) in cases.items():
+        c = F.when(F.col("doc_id") % mod == k, F.concat(F.lit(before), F.col("text"), F.lit(after))).otherwise(c)
+    return t.documents.select("doc_id", "lang", "source", c.alias("c"))
+
+
+def planted_sql(cases: dict[int, tuple[str, str]], mod: int) -> str:
+    def lit(s: str) -> str:
+        return "(" + " || chr(10) || ".join(q(part) for part in s.split("\n")) + ")"
+
+    whens = " ".join(f"WHEN {k} THEN {lit(a)} || text || {lit(b)}" for k, (a, b) in cases.items())
+    return f"d AS (SELECT doc_id, lang, source, CASE doc_id % {mod} {whens} ELSE text END AS c FROM documents)"
+
+
+# stored question/answer pairs with numeric ids, made from neighbouring turns
+QA_SQL = f"""
+pr AS (SELECT conv_id, turn, text, role FROM conversations),
+qp AS (SELECT a.conv_id * 1000 + a.turn // 2 AS id, 's' || a.conv_id || CASE WHEN a.conv_id % 12 = 5 THEN '.trajectory' ELSE '' END AS session_id,
+   a.conv_id, a.turn, a.text AS question, CASE WHEN (a.conv_id + a.turn) % 14 = 0 THEN NULL WHEN (a.conv_id + a.turn) % 15 = 1 THEN '' ELSE b.text END AS answer,
+   make_timestamp(CAST(({EPOCH} + a.conv_id * 86400 + a.turn * 60) * 1000000 AS BIGINT)) AS ts
+  FROM pr a JOIN pr b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0)
+"""
+
+
+def stored_pairs(t: Tables) -> DataFrame:
+    c = t.conversations
+    a = c.filter("turn % 2 = 0").select("conv_id", "turn", F.col("text").alias("question"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("_b"))
+    n = F.col("conv_id") + F.col("turn")
+    return a.join(b, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("id"),
+        F.concat(F.lit("s"), "conv_id", F.when(F.col("conv_id") % 12 == 5, ".trajectory").otherwise("")).alias("session_id"),
+        "conv_id", "turn", "question",
+        F.when(n % 14 == 0, None).when(n % 15 == 1, "").otherwise(F.col("_b")).alias("answer"),
+        F.timestamp_seconds(F.lit(EPOCH) + F.col("conv_id") * 86400 + F.col("turn") * 60).alias("ts"),
+    )

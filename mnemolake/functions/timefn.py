@@ -59,3 +59,16 @@ def to_iso(value: Column) -> Column:
 def same_instant(a: Column, b: Column) -> Column:
     """two renderings of one moment are equal whatever their zone."""
     return parse_ts(a) == parse_ts(b)
+
+
+def event_bounds(links: Column, created_at: Column, kinds=("event_time", "source_event")) -> Column:
+    """``struct(started, ended)`` from the first event link that has a bound, else ``created_at``.
+
+    ``links``: array of struct(kind, start, end) with ISO text bounds.
+    """
+    known = F.filter(links, lambda x: x["kind"].isin(*kinds) & (x["start"].isNotNull() | x["end"].isNotNull()))
+    first = F.get(known, 0)
+    start, end = first["start"].try_cast("timestamp"), first["end"].try_cast("timestamp")
+    return F.struct(
+        F.coalesce(start, end, created_at).alias("started"), F.coalesce(end, start, created_at).alias("ended")
+    )
