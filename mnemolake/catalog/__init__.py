@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("pairing", "cleaning", "identity", "sessions")
+FAMILIES = ("pairing", "cleaning", "identity", "sessions", "lexical")
 
 
 def all_queries():

@@ -53,7 +53,9 @@ class Tables:
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        df = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+        return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
 # --- SQL text helpers --------------------------------------------------------

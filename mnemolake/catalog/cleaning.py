@@ -390,9 +390,9 @@ NOTE = {
 @reg.query("P34", f"""WITH {planted_sql(NOTE, 5)}, x AS (SELECT doc_id, unnest(string_split(c, chr(10))) AS l0, generate_subscripts(string_split(c, chr(10)), 1) AS i FROM d),
 y AS (SELECT doc_id, i, {strip_sql('l0')} AS l FROM x),
 z AS (SELECT doc_id, l, last_value(CASE WHEN starts_with(l, '## ') THEN l END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS h FROM y),
-b AS (SELECT doc_id, regexp_matches(l, '^[-*•]') AND coalesce(contains(h, '关键决策'), false) AS dec, regexp_matches(l, '^[-*•]') AND coalesce(contains(h, '进行中状态'), false) AS prg, regexp_matches(l, {q(R.ATTRIBUTION_MARK)}) AS at, regexp_matches(l, {q(R.STATUS_MARK)}) AS st FROM z)
-SELECT doc_id, count(*) FILTER (WHERE dec) AS decisions, count(*) FILTER (WHERE dec AND NOT at) AS decisions_missing_attr, count(*) FILTER (WHERE dec AND NOT st) AS decisions_missing_status,
- count(*) FILTER (WHERE prg) AS progress, count(*) FILTER (WHERE prg AND NOT st) AS progress_missing_status FROM b GROUP BY doc_id""")
+b AS (SELECT doc_id, regexp_matches(l, '^[-*•]') AND coalesce(contains(h, '关键决策'), false) AS is_dec, regexp_matches(l, '^[-*•]') AND coalesce(contains(h, '进行中状态'), false) AS is_prg, regexp_matches(l, {q(R.ATTRIBUTION_MARK)}) AS has_at, regexp_matches(l, {q(R.STATUS_MARK)}) AS has_st FROM z)
+SELECT doc_id, count(*) FILTER (WHERE is_dec) AS decisions, count(*) FILTER (WHERE is_dec AND NOT has_at) AS decisions_missing_attr, count(*) FILTER (WHERE is_dec AND NOT has_st) AS decisions_missing_status,
+ count(*) FILTER (WHERE is_prg) AS progress, count(*) FILTER (WHERE is_prg AND NOT has_st) AS progress_missing_status FROM b GROUP BY doc_id""")
 def note_marker_audit(t):
     return topics.audit_markers(planted(t, NOTE, 5), "doc_id", "c")
 

@@ -31,7 +31,7 @@ def session_tiers(t):
 
 
 BLOCK_SQL = """l AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
-b AS (SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(p) > {gap} * 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS block_no FROM l),
+b AS (SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(p) > {gap}::BIGINT * 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS block_no FROM l),
 k AS (SELECT user_id, CAST(block_no AS BIGINT) AS block_no, min(ts) AS s, max(ts) AS e, count(*) AS n_rows FROM b GROUP BY 1, 2 HAVING count(*) >= 3)"""
 GAP = 14400
 
@@ -49,7 +49,7 @@ def recent_blocks(t):
 
 
 @reg.query("X7", f"""WITH l AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
-b AS (SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(p) >= {GAP} * 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS bn FROM l)
+b AS (SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(p) >= {GAP}::BIGINT * 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS bn FROM l)
 SELECT user_id, epoch_us(min(ts)) AS started, count(*) AS n FROM b GROUP BY user_id, bn""")
 def session_windows(t):
     w = t.events.groupBy("user_id", F.session_window("ts", f"{GAP} seconds").alias("w")).agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mnemolake import rules as R
-from mnemolake.functions.clean import strip
+from mnemolake.functions.clean import let, strip
 
 
 def chars(c: Column) -> Column:
@@ -16,16 +16,18 @@ def chars(c: Column) -> Column:
 
 def grams(c: Column, n: int) -> Column:
     """All ``n``-character windows of a string, in order (empty when it is shorter)."""
-    cs = chars(c)
     if n == 1:
-        return cs
-    return F.when(
-        F.length(c) >= n,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.length(c) - n, F.lit(0))),
-            lambda i: F.concat(*[F.get(cs, i + k) for k in range(n)]),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+        return chars(c)
+    return let(
+        chars(c),
+        lambda cs: F.when(
+            F.size(cs) >= n,
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(cs) - n, F.lit(0))),
+                lambda i: F.concat(*[F.get(cs, i + k) for k in range(n)]),
+            ),
+        ).otherwise(F.array().cast("array<string>")),
+    )
 
 
 def _run_tokens(run: Column) -> Column:

@@ -206,7 +206,9 @@ def contaminated_pairs(qa: DataFrame, deliveries: DataFrame) -> DataFrame:
     # a segment's first word ends at a blank inside the answer only when the segment has
     # more words, so one-word segments match any answer word that holds them
     many = segs.filter(F.col("_seg") != F.col("_w"))
-    words = scoped.select(
+    # only sessions that had a delivery can hold its text
+    touched = scoped.join(deliveries.select("session_id").distinct(), "session_id", "left_semi")
+    words = touched.select(
         "session_id", "source_id", "answer",
         F.explode(F.array_distinct(F.split("answer", r"\s+"))).alias("_aw"),
     )

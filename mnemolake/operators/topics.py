@@ -116,11 +116,7 @@ def distinct_facts(topics: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _windows(c: Column) -> Column:
     """Every window of one to four characters that starts somewhere in the text."""
-    cs = T.chars(c)
-    n = F.size(cs)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    upto = lambda i, k: F.array_join(F.slice(cs, i + 1, k), "")
-    return F.flatten(F.transform(starts, lambda i: F.array(upto(i, 1), upto(i, 2), upto(i, 3), upto(i, 4))))
+    return F.concat(*[T.grams(c, n) for n in (1, 2, 3, 4)])
 
 
 def fact_refs(facts: DataFrame, batch: DataFrame) -> DataFrame:
