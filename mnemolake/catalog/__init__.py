@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("pairing", "cleaning", "identity", "sessions", "lexical")
+FAMILIES = ("pairing", "cleaning", "identity", "sessions", "lexical", "vectors")
 
 
 def all_queries():

@@ -17,8 +17,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """F6."""
-    return dot(a, b) / (norm(a) * norm(b) + F.lit(1e-10))
+    """zero when either vector is zero."""
+    n = norm(a) * norm(b)
+    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
 def unit(a: Column) -> Column:

@@ -31,7 +31,8 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1.0, n)
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -158,8 +159,9 @@ def similar_pairs(
         F.explode(F.sequence(F.lit(0), F.col("_rb") - 1)).alias("_r"),
     )
     right = near.join(visit, "_cell").select(
-        "_cell", "_id", "_u", F.pmod(F.xxhash64("_id"), F.col("_rb")).cast("int").alias("_r"),
-        F.explode(F.sequence(F.lit(0), F.col("_lb") - 1)).alias("_l"),
+        F.col("_cell").alias("_cell2"), F.col("_id").alias("_jd"), F.col("_u").alias("_w"),
+        F.pmod(F.xxhash64("_id"), F.col("_rb")).cast("int").alias("_r2"),
+        F.explode(F.sequence(F.lit(0), F.col("_lb") - 1)).alias("_l2"),
     )
     id_type = items.schema[id_col].dataType
     schema = T.StructType([
@@ -169,15 +171,18 @@ def similar_pairs(
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"i": [], "j": [], "cosine": []})
-        sims = np.round(_matrix(a["_u"]) @ _matrix(b["_u"]).T, 6)
-        ia, ib = a["_id"].to_numpy(), b["_id"].to_numpy()
+        sims = np.round(_matrix(a["_u"]) @ _matrix(b["_w"]).T, 6)
+        ia, ib = a["_id"].to_numpy(), b["_jd"].to_numpy()
         keep = (sims > threshold) if strict else (sims >= threshold)
         keep &= ia[:, None] < ib[None, :]
         r, c = np.nonzero(keep)
         return pd.DataFrame({"i": ia[r], "j": ib[c], "cosine": sims[r, c]})
 
-    keys = ["_cell", "_l", "_r"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, schema)
+    return (
+        left.groupBy("_cell", "_l", "_r")
+        .cogroup(right.groupBy("_cell2", "_l2", "_r2"))
+        .applyInPandas(product, schema)
+    )
 
 
 def ann_with_exact_fallback(
