@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("pairing", "cleaning", "identity", "sessions", "lexical", "vectors")
+FAMILIES = ("pairing", "cleaning", "identity", "sessions", "lexical", "vectors", "fusion", "indexing")
 
 
 def all_queries():

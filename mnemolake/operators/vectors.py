@@ -195,15 +195,15 @@ def ann_with_exact_fallback(
     rng = np.random.default_rng(11)
     planes = rng.standard_normal((tables, bits, dims))
 
+    weights = (1 << np.arange(bits)).astype(np.int64)
+
+    @F.pandas_udf("array<int>")
+    def codes(v: pd.Series) -> pd.Series:
+        side = np.einsum("nd,tbd->ntb", _matrix(v), planes) >= 0
+        return pd.Series(list((side @ weights).astype(np.int32)))
+
     def keys(v: Column) -> Column:
-        per_table = []
-        for t in range(tables):
-            code = F.lit(0)
-            for b in range(bits):
-                side = V.dot(v, F.array(*[F.lit(float(x)) for x in planes[t, b]])) >= 0
-                code = code + F.when(side, 1 << b).otherwise(0)
-            per_table.append(F.struct(F.lit(t).alias("t"), code.alias("c")))
-        return F.explode(F.array(*per_table))
+        return F.explode(F.transform(codes(v), lambda c, i: F.struct(i.alias("t"), c.alias("c"))))
 
     q = queries.select("query_id", F.col("vec").alias("_qv"))
     c = corpus.select("id", F.col("vec").alias("_cv"))
