@@ -125,9 +125,9 @@ def stale_chunks(t):
     return index_state.stale_chunks(s, stored)
 
 
-LEDGER_SQL = """le AS (SELECT event_type AS entity_table, CAST(user_id AS VARCHAR) AS entity_id, 'p' || (event_id % 2) AS phase, ts AS at, CASE WHEN value < 20 THEN 'resolved' WHEN value > 95 THEN 'entity_resolved' ELSE 'failed' END AS outcome, 'e' || (event_id % 3) AS error_class, event_id % 4 <> 0 AS retryable, 1 + event_id % 2 AS attempts, event_id FROM events),
-fd AS (SELECT entity_table, entity_id, phase, sum(attempts) AS attempts, min(at) AS f, max(at) AS l, arg_max(error_class, at) AS error_class, arg_max(retryable, at) AS retryable FROM le WHERE outcome = 'failed' GROUP BY 1, 2, 3),
-rs AS (SELECT entity_table, entity_id, phase, max(at) AS p FROM le WHERE outcome = 'resolved' GROUP BY 1, 2, 3), es AS (SELECT entity_table, entity_id, max(at) AS e FROM le WHERE outcome = 'entity_resolved' GROUP BY 1, 2),
+LEDGER_SQL = """le AS (SELECT event_type AS entity_table, CAST(user_id AS VARCHAR) AS entity_id, 'p' || (event_id % 2) AS phase, ts AS tt, CASE WHEN value < 20 THEN 'resolved' WHEN value > 95 THEN 'entity_resolved' ELSE 'failed' END AS outcome, 'e' || (event_id % 3) AS error_class, event_id % 4 <> 0 AS retryable, 1 + event_id % 2 AS attempts, event_id FROM events),
+fd AS (SELECT entity_table, entity_id, phase, sum(attempts) AS attempts, min(tt) AS f, max(tt) AS l, arg_max(error_class, tt) AS error_class, arg_max(retryable, tt) AS retryable FROM le WHERE outcome = 'failed' GROUP BY 1, 2, 3),
+rs AS (SELECT entity_table, entity_id, phase, max(tt) AS p FROM le WHERE outcome = 'resolved' GROUP BY 1, 2, 3), es AS (SELECT entity_table, entity_id, max(tt) AS e FROM le WHERE outcome = 'entity_resolved' GROUP BY 1, 2),
 lg AS (SELECT fd.*, CASE WHEN greatest(p, e) > l THEN greatest(p, e) END AS r FROM fd LEFT JOIN rs USING (entity_table, entity_id, phase) LEFT JOIN es USING (entity_table, entity_id))"""
 
 
