@@ -43,10 +43,15 @@ def chains(memories: DataFrame, edges: DataFrame, max_rounds: int = 40) -> tuple
             F.when(F.col("p").isNull(), F.col("memory_id")).alias("root"),
         )
     )
+    waiting = None
     for _ in range(max_rounds):
         moving = state.filter(F.col("root").isNull())
-        if moving.limit(1).count() == 0:
+        left = moving.count()
+        # a chain that still has unplaced versions places some every round, so a
+        # round that placed none leaves only cycles
+        if left == 0 or left == waiting:
             break
+        waiting = left
         hop = state.select(
             F.col("memory_id").alias("anc"), F.col("anc").alias("_a"), F.col("dist").alias("_d"), F.col("root").alias("_r")
         )
@@ -56,14 +61,9 @@ def chains(memories: DataFrame, edges: DataFrame, max_rounds: int = 40) -> tuple
             (F.col("dist") + F.coalesce("_d", F.lit(0))).alias("dist"),
             F.when(F.col("_r").isNotNull(), F.col("_r")).when(F.col("_d").isNull(), F.col("anc")).alias("root"),
         )
-        nxt = cut(state.filter(F.col("root").isNotNull()).unionByName(jumped))
-        # a pointer that ran past every possible chain length is on a cycle
-        stuck = nxt.filter(F.col("root").isNull() & (F.col("anc") == F.col("memory_id")))
-        state = nxt
-        if stuck.limit(1).count():
-            remaining = nxt.filter(F.col("root").isNull())
-            if remaining.join(stuck.select("memory_id"), "memory_id", "left_anti").limit(1).count() == 0:
-                break
+        state = cut(state.filter(F.col("root").isNotNull()).unionByName(jumped))
+    else:
+        raise RuntimeError(f"chains did not settle in {max_rounds} rounds")
     cycle = state.filter(F.col("root").isNull()).select("memory_id", F.lit("cycle").alias("error"))
     direct = dangling.unionByName(forks).unionByName(cycle)
     placed = state.filter(F.col("root").isNotNull()).select("memory_id", F.col("root").alias("chain_id"), F.col("dist").alias("depth"))

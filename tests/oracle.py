@@ -6,6 +6,7 @@ import datetime as dt
 import decimal
 import math
 import os
+import signal
 import sys
 import time
 
@@ -87,14 +88,23 @@ if __name__ == "__main__":
     con = connect(sf_dir)
     qs, sqls = entry.queries(), entry.oracle_sql()
     want = sys.argv[1:]
+
+    def late(*_):
+        raise TimeoutError("query took too long")
+
+    signal.signal(signal.SIGALRM, late)
     bad = 0
     for name, fn in qs.items():
         if want and not any(name == w or (w.endswith("*") and name.startswith(w[:-1])) for w in want):
             continue
+        signal.alarm(int(os.environ.get("QUERY_SECONDS", "60")))
         try:
             st, n, m, took, msg = compare(spark, con, name, fn, sqls.get(name), sf_dir)
         except Exception as e:  # report and go on
             st, n, m, took, msg = "ERROR", 0, 0, 0.0, str(e)[:1500]
+        signal.alarm(0)
+        if st == "ERROR":
+            spark.sparkContext.cancelAllJobs()
         bad += st not in ("ok", "rows")
         print(f"{st:8s} {name:36s} {n} {m} {took:.2f}s {msg}", flush=True)
     print("bad:", bad)
