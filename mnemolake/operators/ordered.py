@@ -53,16 +53,16 @@ def running_sum(
     """Inclusive running sum of ``value`` per key."""
     if not hot:
         return df.withColumn(out, F.sum(value).over(_cumulative(keys, order)))
-    df = cut(df.withColumn("_v", value))
-    totals = df.groupBy(*keys, slice_col).agg(F.sum("_v").alias("_tot"))
+    df = cut(df.withColumn("_scan_v", value))
+    totals = df.groupBy(*keys, slice_col).agg(F.sum("_scan_v").alias("_tot"))
     carry = totals.select(
-        *keys, slice_col, F.coalesce(F.sum("_tot").over(_before(keys, slice_col)), F.lit(0)).alias("_carry")
+        *keys, slice_col, F.coalesce(F.sum("_tot").over(_before(keys, slice_col)), F.lit(0)).alias("_scan_carry")
     )
     return (
-        df.withColumn("_loc", F.sum("_v").over(_cumulative([*keys, slice_col], order)))
+        df.withColumn("_scan_loc", F.sum("_scan_v").over(_cumulative([*keys, slice_col], order)))
         .join(carry, [*keys, slice_col])
-        .withColumn(out, F.col("_loc") + F.col("_carry"))
-        .drop("_v", "_loc", "_carry")
+        .withColumn(out, F.col("_scan_loc") + F.col("_scan_carry"))
+        .drop("_scan_v", "_scan_loc", "_scan_carry")
     )
 
 
@@ -72,14 +72,14 @@ def running_max(
     """Inclusive running maximum of ``value`` per key (nulls ignored)."""
     if not hot:
         return df.withColumn(out, F.max(value).over(_cumulative(keys, order)))
-    df = cut(df.withColumn("_v", value))
-    tops = df.groupBy(*keys, slice_col).agg(F.max("_v").alias("_top"))
-    carry = tops.select(*keys, slice_col, F.max("_top").over(_before(keys, slice_col)).alias("_carry"))
+    df = cut(df.withColumn("_scan_v", value))
+    tops = df.groupBy(*keys, slice_col).agg(F.max("_scan_v").alias("_top"))
+    carry = tops.select(*keys, slice_col, F.max("_top").over(_before(keys, slice_col)).alias("_scan_carry"))
     return (
-        df.withColumn("_loc", F.max("_v").over(_cumulative([*keys, slice_col], order)))
+        df.withColumn("_scan_loc", F.max("_scan_v").over(_cumulative([*keys, slice_col], order)))
         .join(carry, [*keys, slice_col])
-        .withColumn(out, F.greatest("_loc", "_carry"))
-        .drop("_v", "_loc", "_carry")
+        .withColumn(out, F.greatest("_scan_loc", "_scan_carry"))
+        .drop("_scan_v", "_scan_loc", "_scan_carry")
     )
 
 
@@ -97,14 +97,14 @@ def lag(
     """Value of the previous row of the key (null at the first row)."""
     if not hot:
         return df.withColumn(out, F.lag(value).over(_plain(keys, order)))
-    df = cut(df.withColumn("_v", F.struct(value.alias("x"))))
-    ends = df.groupBy(*keys, slice_col).agg(F.max_by("_v", F.struct(*order)).alias("_end"))
-    carry = ends.select(*keys, slice_col, F.lag("_end").over(_plain(keys, [slice_col])).alias("_before"))
+    df = cut(df.withColumn("_scan_v", F.struct(value.alias("x"))))
+    ends = df.groupBy(*keys, slice_col).agg(F.max_by("_scan_v", F.struct(*order)).alias("_end"))
+    carry = ends.select(*keys, slice_col, F.lag("_end").over(_plain(keys, [slice_col])).alias("_scan_before"))
     return (
-        df.withColumn("_loc", F.lag("_v").over(_plain([*keys, slice_col], order)))
+        df.withColumn("_scan_loc", F.lag("_scan_v").over(_plain([*keys, slice_col], order)))
         .join(carry, [*keys, slice_col])
-        .withColumn(out, F.coalesce("_loc", "_before").getField("x"))
-        .drop("_v", "_loc", "_before")
+        .withColumn(out, F.coalesce("_scan_loc", "_scan_before").getField("x"))
+        .drop("_scan_v", "_scan_loc", "_scan_before")
     )
 
 
@@ -114,18 +114,18 @@ def carry_forward(
     """Latest non-null ``value`` at or before each row of the key."""
     if not hot:
         return df.withColumn(out, F.last(value, ignorenulls=True).over(_cumulative(keys, order)))
-    df = cut(df.withColumn("_v", value))
+    df = cut(df.withColumn("_scan_v", value))
     ends = df.groupBy(*keys, slice_col).agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_end")
+        F.max_by("_scan_v", F.when(F.col("_scan_v").isNotNull(), F.struct(*order))).alias("_end")
     )
     carry = ends.select(
-        *keys, slice_col, F.last("_end", ignorenulls=True).over(_before(keys, slice_col)).alias("_prior")
+        *keys, slice_col, F.last("_end", ignorenulls=True).over(_before(keys, slice_col)).alias("_scan_prior")
     )
     return (
-        df.withColumn("_loc", F.last("_v", ignorenulls=True).over(_cumulative([*keys, slice_col], order)))
+        df.withColumn("_scan_loc", F.last("_scan_v", ignorenulls=True).over(_cumulative([*keys, slice_col], order)))
         .join(carry, [*keys, slice_col])
-        .withColumn(out, F.coalesce("_loc", "_prior"))
-        .drop("_v", "_loc", "_prior")
+        .withColumn(out, F.coalesce("_scan_loc", "_scan_prior"))
+        .drop("_scan_v", "_scan_loc", "_scan_prior")
     )
 
 
