@@ -57,9 +57,14 @@ def cjk_bigrams(c: Column) -> Column:
 
 def keyword_score(title: Column, tags: Column, content: Column, terms: Column, item_id: Column | None = None) -> Column:
     """0.4 per title hit, else 0.3 per tag hit, else 0.25 per body hit, capped at 1."""
-    t = F.lower(F.coalesce(title, F.lit("")))
-    b = F.lower(F.coalesce(content, F.lit("")))
-    tag_text = F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower)
+    folded = F.struct(
+        F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(content, F.lit(""))).alias("b"),
+        F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower).alias("g"),
+    )
+    return let(folded, lambda x: _keyword_score(x["t"], x["g"], x["b"], terms, item_id))
+
+
+def _keyword_score(t: Column, tag_text: Column, b: Column, terms: Column, item_id: Column | None) -> Column:
     per_term = lambda q: (
         F.when(t.contains(q), 0.4)
         .when(F.exists(tag_text, lambda g: g.contains(q)), 0.3)

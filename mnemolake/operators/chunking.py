@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemolake.functions import text as TX
-
-BATCH_SLICE_ROWS = 65_536
+from mnemolake.functions.clean import let
+from mnemolake.operators import ordered
 
 
 def safe_token_target(max_tokens: Column, margin: Column) -> Column:
@@ -26,7 +26,10 @@ def fits_one_call(c: Column, target: int) -> Column:
 
 def _field_spans(c: Column, field: str, target: int) -> Column:
     """Array of struct(field, text, n) whose texts concatenate to the field."""
-    pieces = TX.token_pieces(F.coalesce(c, F.lit("")))
+    return let(TX.token_pieces(F.coalesce(c, F.lit(""))), lambda pieces: _spans(pieces, field, target))
+
+
+def _spans(pieces: Column, field: str, target: int) -> Column:
     count = F.ceil(F.size(pieces) / target).cast("int")
     spans = F.transform(
         F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
@@ -94,7 +97,10 @@ def shorten_query(c: Column, target: int, head_ratio: float = 0.6) -> Column:
     With whitespace tokens the joining newline is a blank between tokens and
     costs no budget.
     """
-    pieces = TX.token_pieces(F.coalesce(c, F.lit("")))
+    return let(TX.token_pieces(F.coalesce(c, F.lit(""))), lambda pieces: _shortened(c, pieces, target, head_ratio))
+
+
+def _shortened(c: Column, pieces: Column, target: int, head_ratio: float) -> Column:
     n = F.size(pieces)
     head = max(1, int(target * head_ratio))
     tail = max(1, target - int(target * head_ratio))
@@ -137,6 +143,29 @@ def _run(sizes: np.ndarray, limit: int, entry: int) -> tuple[np.ndarray, int, in
     return starts, (-1 if open_size > limit else open_size), int(starts.sum())
 
 
+def _scan_batches(rows: DataFrame, limit: int, keys: list[str], order: str, size: str) -> DataFrame:
+    """One pass over sessions that each fit a task; Arrow batches stream through."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch_no", T.LongType())])
+
+    def scan(batches):
+        current, used, no = None, -1, 0
+        for pdf in batches:
+            out = []
+            for key, n in zip(zip(*[pdf[k] for k in keys]), pdf[size]):
+                if key != current:
+                    current, used, no = key, -1, 0
+                if n > limit:
+                    used, no = -1, no + 1
+                elif used < 0 or used + n > limit:
+                    used, no = n, no + 1
+                else:
+                    used += n
+                out.append(no)
+            yield pdf.assign(batch_no=out)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(scan, schema)
+
+
 def budget_batches(rows: DataFrame, max_chars: int, keys: tuple[str, ...] = ("session_id",), order: str = "ord", size: str = "chars") -> DataFrame:
     """Consecutive rows of a session packed into batches of at most ``max_chars``.
 
@@ -150,7 +179,9 @@ def budget_batches(rows: DataFrame, max_chars: int, keys: tuple[str, ...] = ("se
     Returns the input with ``batch_no`` counted per session.
     """
     limit = max(1, int(max_chars))
-    r = rows.withColumn("_slice", F.floor(F.col(order) / BATCH_SLICE_ROWS).cast("long"))
+    if not ordered.is_hot(rows, keys):
+        return _scan_batches(rows, limit, list(keys), order, size)
+    r = rows.withColumn("_slice", F.floor(F.col(order) / ordered.SLICE_ROWS).cast("long"))
     keyed = [*keys, "_slice"]
     key_fields = [T.StructField(k, r.schema[k].dataType) for k in keyed]
     step_schema = T.StructType([

@@ -19,16 +19,28 @@ def related_topics(seeds: DataFrame, mentions: DataFrame, observed: DataFrame, l
     topics mentioned by a note in which a node observed the seed.
 
     ``seeds``: (query_id, topic). ``mentions``: (note, topic). ``observed``:
-    (note, topic) edges of the fallback kind. Each hop is reduced to distinct
-    (query, note) before the next, so a note listed by many seeds joins once.
+    (note, topic) edges of the fallback kind.
+
+    The report keeps the ``limit`` smallest topics that are not seeds, so of a
+    note only its ``limit`` plus (seeds per query) smallest topics can matter.
+    Notes are cut to those first, and hops run per distinct seed topic, so a
+    note or topic with very many edges never multiplies into its pairs.
     """
-    notes = seeds.join(mentions, "topic").select("query_id", "note").distinct()
-    near = notes.join(mentions.select("note", F.col("topic").alias("related")), "note")
-    first = _distinct_topics(near, seeds, limit).withColumn("hop", F.lit("co_mention"))
+    most = seeds.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    keep = limit + most
+    smallest = lambda d, key, col: d.withColumn(
+        "_rn", F.row_number().over(W.partitionBy(key).orderBy(col))
+    ).filter(F.col("_rn") <= keep).drop("_rn")
+    heads = smallest(mentions.select("note", F.col("topic").alias("related")).distinct(), "note", "related")
+
+    def hop(asked: DataFrame, edges: DataFrame) -> DataFrame:
+        topics = asked.select("topic").distinct()
+        near = topics.join(edges, "topic").join(heads, "note").select("topic", "related").distinct()
+        return asked.join(smallest(near, "topic", "related"), "topic")
+
+    first = _distinct_topics(hop(seeds, mentions), seeds, limit).withColumn("hop", F.lit("co_mention"))
     rest = seeds.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    notes2 = rest.join(observed, "topic").select("query_id", "note").distinct()
-    far = notes2.join(mentions.select("note", F.col("topic").alias("related")), "note")
-    second = _distinct_topics(far, rest, limit).withColumn("hop", F.lit("observed_in"))
+    second = _distinct_topics(hop(rest, observed), rest, limit).withColumn("hop", F.lit("observed_in"))
     return first.unionByName(second)
 
 

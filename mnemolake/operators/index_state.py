@@ -61,19 +61,23 @@ def orphan_chunks(chunks: DataFrame, parents: DataFrame, parent: str, parent_id:
 
 def chunk_integrity(chunks: DataFrame, parents: DataFrame, parent: str, parent_id: str) -> DataFrame:
     """One row of counts that must all but the first two be zero."""
-    base = chunks.agg(
-        F.count("*").alias("child_rows"),
-        F.countDistinct(parent).alias("distinct_parents"),
-        F.count_if(F.col("vec").isNull()).alias("null_vectors"),
-        F.count_if((F.col("source_start") < 0) | (F.col("source_end") <= F.col("source_start"))).alias("bad_offsets"),
+    per_key = chunks.groupBy(parent, "chunk_index").agg(
+        F.count("*").alias("_n"),
+        F.count_if(F.col("vec").isNull()).alias("_null"),
+        F.count_if((F.col("source_start") < 0) | (F.col("source_end") <= F.col("source_start"))).alias("_bad"),
     )
-    dup = chunks.groupBy(parent, "chunk_index").agg(F.count("*").alias("n")).filter("n > 1").agg(
-        F.count("*").alias("duplicate_keys")
+    per_parent = per_key.groupBy(parent).agg(
+        F.sum("_n").alias("_n"), F.sum("_null").alias("_null"), F.sum("_bad").alias("_bad"), F.count_if(F.col("_n") > 1).alias("_dup")
     )
-    orphans = orphan_chunks(chunks, parents, parent, parent_id).agg(
-        F.countDistinct(parent).alias("parents_missing")
+    known = parents.select(F.col(parent_id).alias(parent)).distinct().withColumn("_known", F.lit(1))
+    return per_parent.join(known, parent, "left").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("child_rows"),
+        F.count("*").alias("distinct_parents"),
+        F.coalesce(F.sum("_null"), F.lit(0)).alias("null_vectors"),
+        F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad_offsets"),
+        F.coalesce(F.sum("_dup"), F.lit(0)).alias("duplicate_keys"),
+        F.count_if(F.col("_known").isNull()).alias("parents_missing"),
     )
-    return base.withColumn("duplicate_keys", dup.scalar()).withColumn("parents_missing", orphans.scalar())
 
 
 def null_debt(rows: DataFrame, as_of: Column, hours: int) -> DataFrame:

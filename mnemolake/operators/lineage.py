@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemolake.functions import ident as I
-from mnemolake.functions.clean import strip
+from mnemolake.functions.clean import let, strip
 from mnemolake.operators import ordered
 
 RANGE_BUCKET = 1024
@@ -292,6 +292,9 @@ def anchor_expand(
     terms = query_terms.groupBy("query_id").agg(F.collect_set("term").alias("_terms"))
     return (
         evidence.join(qa, "qa_id").join(terms, "query_id", "left")
-        .withColumn("score", F.size(F.filter(F.coalesce("_terms", F.array().cast("array<string>")), lambda t: text.contains(t))))
+        .withColumn(
+            "score",
+            let(text, lambda x: F.size(F.filter(F.coalesce("_terms", F.array().cast("array<string>")), lambda t: x.contains(t)))),
+        )
         .select("query_id", "qa_id", "via", "score")
     )
