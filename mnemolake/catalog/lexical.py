@@ -32,7 +32,7 @@ def corpus(t):
 def _matched(t):
     terms = lexical.query_terms(bench_queries(t))
     docs = corpus(t)
-    return terms, docs, lexical.term_matches(terms, docs, "id", [F.col("text")])
+    return terms, docs, lexical.term_matches(terms, docs, "id", [F.col("text")], words_only=True)
 
 
 @reg.query("F1", f"WITH {QS_SQL} SELECT query_id, CAST(ord AS INTEGER) AS ord, term FROM tm")

@@ -54,7 +54,7 @@ def recall(
     """
     qa = items.filter(F.col("kind") == "qa")
     terms = cut(lexical.query_terms(queries))
-    matches = cut(lexical.term_matches(terms, qa, "id", [F.col("text")]))
+    matches = cut(lexical.term_matches(terms, qa, "id", [F.col("text")], words_only=True))
     freq = lexical.document_frequency(terms, matches, "id")
     total = qa.agg(F.count("*").alias("n")).scalar()
     signals = cut(lexical.qa_scores(terms, matches, freq, total, "id"))

@@ -157,6 +157,8 @@ def test_phrase_and_short_terms(spark, monkeypatch):
     assert got() == want
     monkeypatch.setattr(lexical, "BROADCAST_HITS", 0)
     assert got() == want
+    monkeypatch.setattr(lexical, "SALT_ROWS", 1)
+    assert got() == want
 
 
 def test_as_of_truth_table(spark):
