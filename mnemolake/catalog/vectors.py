@@ -54,8 +54,8 @@ p AS (SELECT * FROM h WHERE cosine >= 0.25)
 SELECT query_id, id, max(cosine) AS cosine, array_to_string(list_sort(list(DISTINCT kind)), ',') AS source_kinds, count(*) AS candidates FROM p GROUP BY 1, 2""")
 def parent_child_max(t):
     v = vectors_in(t)
-    parents = vectors.top_k_cosine(queries_in(t), v.filter("id < 100000"), 1_000_000, 0.25).withColumn("kind", F.lit("parent"))
-    kids = vectors.top_k_cosine(queries_in(t), v.filter("id >= 100000"), 1_000_000, 0.25).withColumn("kind", F.lit("child"))
+    parents = vectors.top_k_cosine(queries_in(t), v.filter("id < 100000"), None, 0.25).withColumn("kind", F.lit("parent"))
+    kids = vectors.top_k_cosine(queries_in(t), v.filter("id >= 100000"), None, 0.25).withColumn("kind", F.lit("child"))
     hits = parents.unionByName(kids).withColumn("content", F.lit("")).withColumn("id", F.col("id") % 100000)
     return vectors.merge_parent_child(hits).drop("content")
 
@@ -74,8 +74,8 @@ SELECT query_id, id, cosine FROM z WHERE pos <= 12 AND cosine >= 0.3"""
 def newest_note_per_day(t):
     v = vectors_in(t)
     kind = lambda d, k: d.withColumn("kind", F.lit(k))
-    hits = kind(vectors.top_k_cosine(queries_in(t), v.filter("id < 100000"), 1_000_000, 0.1), "parent").unionByName(
-        kind(vectors.top_k_cosine(queries_in(t), v.filter("id >= 100000"), 1_000_000, 0.1), "child")
+    hits = kind(vectors.top_k_cosine(queries_in(t), v.filter("id < 100000"), None, 0.1), "parent").unionByName(
+        kind(vectors.top_k_cosine(queries_in(t), v.filter("id >= 100000"), None, 0.1), "child")
     ).withColumn("content", F.lit("")).withColumn("id", F.col("id") % 100000)
     m = vectors.merge_parent_child(hits)
     seconds = F.lit(1704067200) + (F.col("id") % 40) * 86400 + (F.col("id") % 600) * 60

@@ -57,7 +57,7 @@ def _all_blocks(n: int) -> Column:
 def top_k_cosine(
     queries: DataFrame,
     corpus: DataFrame,
-    k: int,
+    k: int | None,
     floor: float = -1.0,
     query_vec: str = "vec",
     corpus_vec: str = "vec",
@@ -66,7 +66,7 @@ def top_k_cosine(
 ) -> DataFrame:
     """Per ``query_id`` the ``k`` nearest corpus rows with cosine >= floor.
 
-    Exact. Cosines are rounded to six digits before ranking; ties take the
+    ``k=None`` keeps every row above the floor. Exact. Cosines are rounded to six digits before ranking; ties take the
     smaller id. Corpus and queries are cut into blocks of bounded size; every
     (query block, corpus block) cell is one task-sized product that returns at
     most ``k`` rows per query.
@@ -97,7 +97,7 @@ def top_k_cosine(
         out_q, out_id, out_s = [], [], []
         for row, qid in zip(sims, left["query_id"]):
             hit = np.flatnonzero(row >= floor)
-            if hit.size > k:
+            if k is not None and hit.size > k:
                 hit = hit[np.argsort(-row[hit], kind="stable")[:k]]
             out_q += [qid] * hit.size
             out_id.append(ids[hit])
@@ -108,7 +108,8 @@ def top_k_cosine(
 
     local = q.groupBy("_cb", "_qb").cogroup(c.groupBy("_cb", "_qb")).applyInPandas(product, schema)
     best = W.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = local.withColumn("rank", F.row_number().over(best))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def _axes(dims: int, count: int) -> np.ndarray:

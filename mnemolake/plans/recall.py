@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemolake.functions import vec as V
 from mnemolake.operators import fusion, lexical, lineage, vectors
 from mnemolake.session import cut
 
@@ -20,25 +21,30 @@ def layered_chain(
     to the fused path instead. Topics named as premises stand before vector hits.
     ``premises``: (query_id, topic_id).
     """
-    n_topics = 1_000_000
-    hits = cut(vectors.top_k_cosine(queries, topics, n_topics, -1.0, dims=dims).select("query_id", "id", "cosine"))
-    anchor = hits.groupBy("query_id").agg(F.max("cosine").alias("_a"))
-    named = premises.select("query_id", F.col("topic_id").alias("id"), F.lit(0).alias("_p"))
-    first = F.coalesce("_p", F.lit(1))
-    order = W.partitionBy("query_id").orderBy(first, F.desc("cosine"), "id")
+    near = cut(vectors.top_k_cosine(queries, topics, cards, -1.0, dims=dims).select("query_id", "id", "cosine"))
+    anchor = near.groupBy("query_id").agg(F.max("cosine").alias("_a"))
+    named = (
+        premises.select("query_id", F.col("topic_id").alias("id")).distinct()
+        .join(queries.select("query_id", F.col("vec").alias("_qv")), "query_id").join(topics.select("id", "vec"), "id")
+        .select("query_id", "id", F.round(V.cosine(F.col("_qv"), F.col("vec")), 6).alias("cosine"), F.lit(0).alias("_p"))
+    )
+    both = near.withColumn("_p", F.lit(1)).unionByName(named).groupBy("query_id", "id").agg(
+        F.min("_p").alias("_p"), F.max("cosine").alias("cosine")
+    )
+    order = W.partitionBy("query_id").orderBy("_p", F.desc("cosine"), "id")
     chosen = (
-        hits.join(named, ["query_id", "id"], "left").withColumn("card_rank", F.row_number().over(order))
-        .filter(F.col("card_rank") <= cards).select("query_id", F.col("id").alias("topic"), "card_rank")
+        both.withColumn("card_rank", F.row_number().over(order)).filter(F.col("card_rank") <= cards)
+        .select("query_id", F.col("id").alias("topic"), "card_rank")
     )
     used = topics.join(chosen.select(F.col("topic").alias("id")).distinct(), "id", "left_semi")
-    near = vectors.top_k_cosine(used.select(F.col("id").alias("query_id"), "vec"), entries, traces, -1.0, dims=dims).select(
+    traced = vectors.top_k_cosine(used.select(F.col("id").alias("query_id"), "vec"), entries, traces, -1.0, dims=dims).select(
         F.col("query_id").alias("topic"), F.col("id").alias("entry_id"), F.col("rank").alias("trace_rank")
     )
     q = queries.select("query_id").join(anchor, "query_id", "left").withColumn(
         "kind", F.when(F.col("_a") >= anchor_floor, "chain").otherwise("fallback")
     ).drop("_a")
     ok = chosen.join(q.filter("kind = 'chain'").select("query_id"), "query_id", "left_semi")
-    return q.join(ok, "query_id", "left").join(near, "topic", "left")
+    return q.join(ok, "query_id", "left").join(traced, "topic", "left")
 
 
 def recall(
