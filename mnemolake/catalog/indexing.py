@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemolake.catalog.base import EPOCH, QA_SQL, Registry, stored_pairs, strip_sql
+from mnemolake.functions.frames import side_by_side
 from mnemolake.operators import chunking, health, index_state
 
 reg = Registry()
@@ -194,10 +195,10 @@ def _issues(t):
     c, parents = _chunks(t)
     integ = index_state.chunk_integrity(c, parents, "doc_id", "doc_id").select(
         F.col("parents_missing").alias("chunk_parents_missing"), F.col("null_vectors").alias("chunk_null_vectors"),
-        F.col("bad_offsets").alias("chunk_bad_offsets"), F.col("duplicate_keys").alias("chunk_duplicate_keys"), F.lit(1).alias("_j"),
+        F.col("bad_offsets").alias("chunk_bad_offsets"), F.col("duplicate_keys").alias("chunk_duplicate_keys"),
     )
     zero = {k: F.lit(0) for k in ("explicit_embedding_null", "current_active", "current_poisoned", "malformed")}
-    m = _debt(t).withColumn("_j", F.lit(1)).join(integ, "_j").withColumns(
+    m = side_by_side(_debt(t), integ).withColumns(
         {**zero, "current_retrying": F.lit(2), "total_poisoned": F.lit(7), "stale": F.lit(1)}
     )
     return health.diagnose(m)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.functions.frames import side_by_side
+
 STATUS_RANK = {"PASS": 3, "FAIL": 2, "ERROR": 1}
 # fixed values: labels that mean recall itself failed
 RECALL_FAILURES = ("NOT_RETRIEVED", "NOT_INDEXED", "NOT_STORED", "RANKED_TOO_LOW", "WRONG_MEMORY", "UNKNOWN")
@@ -157,7 +159,7 @@ def scenario_metrics(scenarios: DataFrame, queries: DataFrame) -> DataFrame:
         rate(F.col("_h5"), F.col("_want")).alias("hit_at_5"), F.round(F.coalesce("_mrr", F.lit(0.0)), 6).alias("mrr"),
         "false_positives", (F.col("_want") - F.col("_hit")).alias("misses"), "median_latency_ms", "p95_latency_ms",
     )
-    return s.withColumn("_j", F.lit(1)).join(q.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    return side_by_side(s, q)
 
 
 def pass_rate_by(scenarios: DataFrame, label: str) -> DataFrame:

@@ -124,22 +124,24 @@ def collapse_copies(items: DataFrame, id_col: str = "id", vec_col: str = "vec")
     return reps.select("rep", vec_col, "copies"), members
 
 
-def similar_pairs(
-    items: DataFrame, threshold: float, strict: bool = False, id_col: str = "id", vec_col: str = "vec", dims: int = 64
-) -> DataFrame:
-    """Distinct pairs (``i`` < ``j``) with cosine >= threshold (> when strict).
+def _grid(base: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides for a threshold that no projection prunes: every block meets every block."""
+    mine = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
+    left = base.select(F.lit(0).alias("_cell"), "_id", "_u", mine.alias("_l"), _all_blocks(blocks).alias("_r"))
+    right = base.select(
+        F.lit(0).alias("_cell2"), F.col("_id").alias("_jd"), F.col("_u").alias("_w"), _all_blocks(blocks).alias("_l2"), mine.alias("_r2")
+    )
+    return left, right
 
-    Exact. ``items`` must hold distinct vectors (see ``collapse_copies``);
-    with copies the result is still right but the output is as large as it says.
-    """
-    radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
-    count = AXES if radius < 0.8 else 0
-    base = items.select(F.col(id_col).alias("_id"), V.unit(F.col(vec_col)).alias("_u"))
+
+def _cells(base: DataFrame, count: int, radius: float, dims: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides for a prunable threshold: rows in their cell, and in all neighbour cells
+    where someone lives; crowded cells are cut into blocks."""
     coords = [
         F.floor(V.dot(F.col("_u"), F.array(*[F.lit(float(x)) for x in axis])) / F.lit(radius)).cast("int")
-        for axis in (_axes(dims, count) if count else [])
+        for axis in _axes(dims, count)
     ]
-    home = base.withColumn("_cell", F.array(*coords).cast("array<int>"))
+    home = base.withColumn("_cell", F.array(*coords))
     near = home
     for d in range(count):
         step = F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)]))
@@ -148,7 +150,6 @@ def similar_pairs(
             F.transform("_cell", lambda v, i: F.when(i == d, v + F.col("_o")).otherwise(v)),
         )
     near = near.drop("_o")
-    # a neighbour cell is only worth sending to when someone lives there
     crowd = home.groupBy("_cell").agg(F.count("*").alias("_n"))
     visit = near.groupBy("_cell").agg(F.count("*").alias("_m")).join(crowd, "_cell").select(
         "_cell",
@@ -164,6 +165,22 @@ def similar_pairs(
         F.pmod(F.xxhash64("_id"), F.col("_rb")).cast("int").alias("_r2"),
         F.explode(F.sequence(F.lit(0), F.col("_lb") - 1)).alias("_l2"),
     )
+    return left, right
+
+
+def similar_pairs(
+    items: DataFrame, threshold: float, strict: bool = False, id_col: str = "id", vec_col: str = "vec", dims: int = 64
+) -> DataFrame:
+    """Distinct pairs (``i`` < ``j``) with cosine >= threshold (> when strict).
+
+    Exact. ``items`` must hold distinct vectors (see ``collapse_copies``);
+    with copies the result is still right but the output is as large as it says.
+    """
+    # cosines are compared after rounding to six digits, so the radius covers that step
+    radius = math.sqrt(max(0.0, 2.0 - 2.0 * (threshold - 1e-6))) + 1e-9
+    count = AXES if radius < 0.8 else 0
+    base = items.select(F.col(id_col).alias("_id"), V.unit(F.col(vec_col)).alias("_u"))
+    left, right = _cells(base, count, radius, dims) if count else _grid(base, max(1, math.ceil(items.count() / PAIR_BLOCK_ROWS)))
     id_type = items.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("i", id_type), T.StructField("j", id_type), T.StructField("cosine", T.DoubleType()),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions import ident as I
 from mnemolake.functions.clean import strip
+from mnemolake.functions.frames import side_by_side
 from mnemolake.operators import dedupe
 
 KIND_TAGS = {"curated": "user-curated", "legacy": "legacy-derived"}
@@ -108,8 +109,9 @@ def write_evaluation(results: DataFrame, latency: DataFrame, folder: str, settin
         F.sha2(F.sum(F.xxhash64(*d.columns).cast("decimal(38,0)")).cast("string"), 256).alias("h"), F.count("*").alias("n")
     )
     a, b = digest(results), digest(latency)
-    manifest = a.select(F.col("h").alias("results_sha"), F.col("n").alias("results_rows"), F.lit(1).alias("_j")).join(
-        b.select(F.col("h").alias("latency_sha"), F.col("n").alias("latency_rows"), F.lit(1).alias("_j")), "_j"
-    ).drop("_j").withColumn("settings", F.lit(json.dumps(settings, sort_keys=True)))
+    manifest = side_by_side(
+        a.select(F.col("h").alias("results_sha"), F.col("n").alias("results_rows")),
+        b.select(F.col("h").alias("latency_sha"), F.col("n").alias("latency_rows")),
+    ).withColumn("settings", F.lit(json.dumps(settings, sort_keys=True)))
     manifest.write.mode("overwrite").json(f"{folder}/manifest")
     return manifest
