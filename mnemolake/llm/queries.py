@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op1_chat_windows": "chat",
+    "op7_sentencepieces": "sentencepieces",
 }
 
 
