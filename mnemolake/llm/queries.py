@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op1_chat_windows": "chat",
+    "op3_substring_dedup": "substrings",
     "op7_sentencepieces": "sentencepieces",
     "op9_language_id": "langid",
     "op10_packing": "packing",
