@@ -28,13 +28,13 @@ row; texts shorter than ``WIDTH`` are kept whole. A document of any length is wo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemolake.llm.hashing import SLAB, Prefix, U, mix
 from mnemolake.llm.tables import parts_for, sha256_hex, table, text_bytes
 
 WIDTH = 50
@@ -42,51 +42,12 @@ GRAM = 20
 #: Windows that start together may have any of 31 grams, so a fragment has at most 31 windows: one bit each.
 SPREAD = WIDTH - GRAM + 1
 WHOLE = np.uint32(1 << 31)
-SLAB = 1 << 18
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 1 << 14
 FREQUENT_SHARE = 0.004
 SHALLOW_WORDS = 4
-U = np.uint64
-
-
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random odd value per byte, and powers of the base and of its inverse modulo 2**64."""
-    base = 0x9E3779B97F4A7C15
-    values = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-    out = []
-    for step in (base, pow(base, -1, 1 << 64)):
-        p = np.full(SLAB + WIDTH + 1, U(step))
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return values, out[0], out[1]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> U(29))
-    h *= U(0xBF58476D1CE4E5B9)
-    h ^= h >> U(32)
-    return h
-
-
-class Prefix:
-    """Hashes of any stretch of one slab of bytes, from prefix sums."""
-
-    def __init__(self, data: np.ndarray):
-        values, self.power, self.inverse = _tables()
-        n = len(data)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(values[data] * self.power[:n], out=self.sums[1:])
-
-    def grams(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return _mix((self.sums[size:] - self.sums[:n]) * self.inverse[:n])
-
-    def stretches(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U))
 
 
 def _smallest(key: np.ndarray, width: int) -> np.ndarray:
@@ -444,7 +405,7 @@ def _held(h: np.ndarray, f: np.ndarray, ah: np.ndarray, af: np.ndarray) -> np.nd
     """Place in (ah, af) of each pair (h, f), or -1. Pairs of (h, f) are distinct."""
     if not len(ah):
         return np.full(len(h), -1)
-    key, akey = _mix(h ^ _mix(f)), _mix(ah ^ _mix(af))
+    key, akey = mix(h ^ mix(f)), mix(ah ^ mix(af))
     order = np.argsort(akey)
     at = np.minimum(np.searchsorted(akey[order], key), len(order) - 1)
     place = order[at]
