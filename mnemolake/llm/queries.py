@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_chat_windows": "chat",
     "op3_substring_dedup": "substrings",
+    "op5_jaccard_join": "shingles",
     "op7_sentencepieces": "sentencepieces",
     "op9_language_id": "langid",
     "op10_packing": "packing",
