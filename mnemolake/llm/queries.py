@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op1_chat_windows": "chat",
+    "op2_multi_index_neighbours": "multi_index",
     "op3_substring_dedup": "substrings",
     "op5_jaccard_join": "shingles",
     "op7_sentencepieces": "sentencepieces",
