@@ -11,6 +11,7 @@ MODULES = {
     "op1_chat_windows": "chat",
     "op2_multi_index_neighbours": "multi_index",
     "op3_substring_dedup": "substrings",
+    "op4_mtree_top_scores": "mtree",
     "op5_jaccard_join": "shingles",
     "op7_sentencepieces": "sentencepieces",
     "op9_language_id": "langid",
