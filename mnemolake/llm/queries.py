@@ -14,6 +14,7 @@ MODULES = {
     "op4_mtree_top_scores": "mtree",
     "op5_jaccard_join": "shingles",
     "op7_sentencepieces": "sentencepieces",
+    "op8_line_chunks": "linechunks",
     "op9_language_id": "langid",
     "op10_packing": "packing",
 }
