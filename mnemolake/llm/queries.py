@@ -13,6 +13,7 @@ MODULES = {
     "op3_substring_dedup": "substrings",
     "op4_mtree_top_scores": "mtree",
     "op5_jaccard_join": "shingles",
+    "op6_secret_scan": "secrets",
     "op7_sentencepieces": "sentencepieces",
     "op8_line_chunks": "linechunks",
     "op9_language_id": "langid",
