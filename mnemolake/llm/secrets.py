@@ -218,5 +218,6 @@ def shown(spans: str):
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: counts and digest of the base spans, and all spans."""
     found = scan_documents(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, sha256_hex(shown("base")).alias("base_sha256"), shown("spans").alias("spans"))
