@@ -23,7 +23,7 @@ No cap anywhere: copies collapse before the first shuffle of grams, a hot gram o
 contributes star edges, a large cluster only more cells.
 
 Defined cases: null text or no word: empty set, linked with nothing; fewer words
-than ``width`` are one gram, the whole sequence; a null doc_id links with nothing; repeated
+than ``width`` are one gram, the whole sequence; a row with a null doc_id takes no part (empty set); repeated
 rows each get their row; other columns are ignored; an empty table gives no row. Equal 64-bit gram
 hashes inside a text are one gram (128-bit hashes tell texts apart).
 """
