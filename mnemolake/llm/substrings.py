@@ -17,8 +17,8 @@ fragment, and equal windows have equal owners, so they meet under the owner's ha
 
 Grams that are frequent in a bounded sample rank last. A gram inside a common passage then
 owns a window only where all grams are common, so its fragments are equal everywhere and collapse in step 1; the sample
-only balances the work, results do not depend on it. Gram and fragment hashes are 64 bits
-each and must both agree; texts are compared byte by byte in step 3.
+only balances the work, results do not depend on it. Gram hashes of 64 bits and fragment hashes of
+48 bits must both agree; texts are compared byte by byte in step 3.
 
 Defined cases: null text is empty; a null doc_id is neither a source nor changed;
 equal doc_ids do not remove each other's strings; other columns are ignored; an empty table gives no
@@ -42,6 +42,7 @@ GRAM = 20
 #: Windows that start together may have any of 31 grams, so a fragment has at most 31 windows: one bit each.
 SPREAD = WIDTH - GRAM + 1
 WHOLE = np.uint32(1 << 31)
+LOW48 = U((1 << 48) - 1)
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 SAMPLE_DOCS = 2000
@@ -86,7 +87,7 @@ def fragments(data: np.ndarray, lengths: np.ndarray, frequent: np.ndarray | None
         new[1:] = (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1) | (doc[start[1:]] != doc[start[:-1]])
         first = np.flatnonzero(new)
         s0, s1 = start[first], start[np.append(first[1:] - 1, len(start) - 1)]
-        found.append((gram[own[first]], prefix.stretches(s0, s1 + WIDTH), doc[s0], s0 + at, s1 + at))
+        found.append((gram[own[first]], prefix.stretches(s0, s1 + WIDTH) & LOW48, doc[s0], s0 + at, s1 + at))
     if not found:
         return (np.zeros(0, U), np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -137,6 +138,18 @@ def _joined(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in kinds]
 
 
+def _packed(h: np.ndarray, f: np.ndarray, doc: np.ndarray) -> bytes:
+    """Owner hashes, 48-bit fragment hashes and documents in as few bytes as hold them: the corpus' largest shuffle."""
+    wide = len(doc) and (doc.min() < 0 or doc.max() >= 1 << 32)
+    docs = doc if wide else doc.astype(np.uint32)
+    return b"".join([b"\1" if wide else b"\0", h.tobytes(), f.astype(np.uint32).tobytes(), (f >> U(32)).astype(np.uint16).tobytes(), docs.tobytes()])
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, low, high, doc = _unpack(blob[1:], U, np.uint32, np.uint16, np.int64 if blob[0] else np.uint32)
+    return h, low.astype(U) | (high.astype(U) << U(32)), doc.astype(np.int64)
+
+
 class BlindTrie:
     """Patricia trie over suffixes of ``text`` that are compared to ``width`` bytes: inner nodes keep only the branching position."""
 
@@ -281,12 +294,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         order, first = _classes(h, f, ids[doc])
         own = order[first]
         h, f, d = h[own], f[own], ids[doc[own]]
-        return _table(list(_blobs((h % U(n_buckets)).astype(np.int64), key[0].as_py(), h, f, d)), names)
+        bucket = (h % U(n_buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        keys, starts = np.unique(bucket[by], return_index=True)
+        parts = np.split(by, starts[1:]) if len(keys) else []
+        return _table([(k, key[0].as_py(), _packed(h[p], f[p], d[p])) for k, p in zip(keys.tolist(), parts)], names)
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         blobs, chunk_of = rows.column("data").to_pylist(), rows.column("kind").to_numpy()
-        h, f, d = _joined(blobs, U, U, np.int64)
-        chunk = np.repeat(chunk_of, [len(b) // 24 for b in blobs])
+        unpacked = [_unpacked(b) for b in blobs]
+        h, f, d = (np.concatenate(c) for c in zip(*unpacked))
+        chunk = np.repeat(chunk_of, [len(u[0]) for u in unpacked])
         order, first = _classes(h, f, d)
         h, f, d, chunk = h[order], f[order], d[order], chunk[order]
         sizes = np.diff(np.append(first, len(h)))
