@@ -18,28 +18,31 @@ def contained_in_ranges(points: DataFrame, ranges: DataFrame, point: str, lo: st
 
     A range wider than many buckets is cut at power-of-two levels instead of
     being listed bucket by bucket: each level holds at most two edge buckets, so
-    a range sends O(log width) rows and a point one row per level.
+    a range of any width sends O(log width) rows, and a point one row per level
+    that some range uses (at most 64 numbers come to the driver).
     """
     last = F.col(hi) if closed_hi else F.col(hi) - 1
-    levels = 24
     r = ranges.filter(F.col(lo) <= last).withColumns({
         "_b0": F.floor(F.col(lo) / bucket).cast("long"), "_b1": F.floor(last / bucket).cast("long"),
     })
+    shift = lambda x, level: F.call_function("shiftright", x, level.cast("int"))
     # dyadic cover of [_b0, _b1]: at level L the left edge is odd or the right edge even
-    cover = []
-    for level in range(levels):
-        a = F.shiftright(F.col("_b0") + F.lit((1 << level) - 1), level)
-        b = F.shiftright(F.col("_b1") + F.lit(1), level)  # exclusive
-        left = F.when((a < b) & (a % 2 == 1), a)
-        right = F.when((a < b) & (b % 2 == 1), b - 1)
-        cover.append(F.struct(F.lit(level).alias("_l"), left.alias("_k")))
-        cover.append(F.struct(F.lit(level).alias("_l"), right.alias("_k")))
-    r = r.withColumn("_c", F.explode(F.array_distinct(F.array(*cover)))).filter(F.col("_c._k").isNotNull())
+
+    def edges(level: Column) -> Column:
+        first = shift(F.col("_b0") - 1, level) + 1
+        end = shift(F.col("_b1") + 1, level)  # exclusive
+        cell = lambda k: F.struct(level.cast("int").alias("_l"), k.alias("_k"))
+        return F.array(
+            cell(F.when((first < end) & (first % 2 != 0), first)), cell(F.when((first < end) & (end % 2 != 0), end - 1))
+        )
+
+    cover = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), edges)))
+    r = r.withColumn("_c", F.explode(F.filter(cover, lambda c: c["_k"].isNotNull())))
     r = r.select("*", F.col("_c._l").alias("_l"), F.col("_c._k").alias("_k")).drop("_c", "_b0", "_b1")
+    used = sorted(x["_l"] for x in r.select("_l").distinct().collect())
     home = F.floor(F.col(point) / bucket).cast("long")
-    p = points.withColumn(
-        "_c", F.explode(F.array(*[F.struct(F.lit(lv).alias("_l"), F.shiftright(home, lv).alias("_k")) for lv in range(levels)]))
-    ).select("*", F.col("_c._l").alias("_l"), F.col("_c._k").alias("_k")).drop("_c")
+    levels = F.array(*[F.lit(lv) for lv in used]) if used else F.array().cast("array<int>")
+    p = points.withColumn("_l", F.explode(levels)).withColumn("_k", shift(home, F.col("_l")))
     inside = (F.col(point) >= F.col(lo)) & (F.col(point) <= last)
     return p.join(r, ["_l", "_k"]).filter(inside).drop("_l", "_k")
 

@@ -56,6 +56,9 @@ def embed(
         for attempt in range(1, retries + 2):
             try:
                 out = function(texts)
+                if len(out) != len(texts):
+                    # vectors would land on the wrong texts
+                    raise ValueError(f"{len(out)} vectors for {len(texts)} texts")
                 return [
                     (v, None, attempt) if len(v) and any(v) else (None, "zero_vector", attempt) for v in out
                 ]

@@ -63,10 +63,11 @@ def top_k_cosine(
     corpus_vec: str = "vec",
     corpus_id: str = "id",
     dims: int = 64,
+    but_own: bool = False,
 ) -> DataFrame:
     """Per ``query_id`` the ``k`` nearest corpus rows with cosine >= floor.
 
-    ``k=None`` keeps every row above the floor. Exact. Cosines are rounded to six digits before ranking; ties take the
+    ``but_own`` leaves out the corpus row with the query's own id before the ``k`` are taken. ``k=None`` keeps every row above the floor. Exact. Cosines are rounded to six digits before ranking; ties take the
     smaller id. Corpus and queries are cut into blocks of bounded size; every
     (query block, corpus block) cell is one task-sized product that returns at
     most ``k`` rows per query.
@@ -96,7 +97,7 @@ def top_k_cosine(
         sims, ids = sims[:, order_ids], ids[order_ids]
         out_q, out_id, out_s = [], [], []
         for row, qid in zip(sims, left["query_id"]):
-            hit = np.flatnonzero(row >= floor)
+            hit = np.flatnonzero((row >= floor) & (ids != qid)) if but_own else np.flatnonzero(row >= floor)
             if k is not None and hit.size > k:
                 hit = hit[np.argsort(-row[hit], kind="stable")[:k]]
             out_q += [qid] * hit.size

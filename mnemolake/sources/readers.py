@@ -157,6 +157,7 @@ def message_table(messages: DataFrame, sessions: DataFrame | None = None, host:
         F.coalesce(col("role"), F.lit("assistant")).alias("role"), col("content").alias("content"), col("timestamp").alias("ts"),
         F.coalesce(F.when(col("session_id") != "", col("session_id")), F.lit(f"ungrouped:{artifact}")).alias("session_id"), col("id").alias("raw_id"),
         col("tool_calls").alias("tool_calls"), col("display_kind").alias("display_kind"), col("message_uid").alias("uid"),
+        F.monotonically_increasing_id().alias("_row"),  # the place in the table, where ids are no numbers
     )
     if sessions is not None:
         meta = sessions.groupBy(F.col("id").cast("string").alias("session_id")).agg(F.max("source").alias("session_source"))
@@ -166,7 +167,7 @@ def message_table(messages: DataFrame, sessions: DataFrame | None = None, host:
     x = x.withColumn("occurred_at", timefn.to_iso(F.col("ts")))
     eid = I.uid_or_hash_event_id(F.col("uid"), F.col("session_id"), F.col("role"), F.col("occurred_at"), F.col("content"))
     return items(
-        x, host=F.lit(host), session_id=F.col("session_id"), ord=F.coalesce(F.col("raw_id").try_cast("bigint"), F.lit(0).cast("bigint")),
+        x, host=F.lit(host), session_id=F.col("session_id"), ord=F.coalesce(F.col("raw_id").try_cast("bigint"), F.col("_row")),
         event_id=eid, identity_kind=F.when(C.none_if_blank(F.col("uid")).isNotNull(), "native").otherwise("content-hash"),
         role=F.col("role"), content=F.col("content"), occurred_at=F.col("occurred_at"), session_source=F.col("session_source"),
         tool_calls=F.col("tool_calls"), artifact=F.lit(artifact),
@@ -295,12 +296,13 @@ def checkpoint_messages(spark: SparkSession, path: str, host: str = "snapshots")
 def peer_csv(spark: SparkSession, path: str, host: str = "peers") -> DataFrame:
     """CSV export with a peer name per row."""
     x = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    x = x.withColumn("_row", F.monotonically_increasing_id())
     have = lambda *names: F.coalesce(*[F.col(n) for n in names if n in x.columns], F.lit(None).cast("string"))
     role = peer_role(have("peer_name"))
     text = F.coalesce(have("content"), F.lit(""))
     return items(
         x, host=F.lit(host), session_id=F.coalesce(have("session_name"), have("session_id"), F.lit(host)),
-        ord=F.coalesce(have("seq_in_session").try_cast("bigint"), F.lit(0).cast("bigint")), event_id=have("id", "public_id"),
+        ord=F.coalesce(have("seq_in_session").try_cast("bigint"), F.col("_row")), event_id=have("id", "public_id"),
         identity_kind=_identity(have("id", "public_id")), role=role, content=text,
         occurred_at=timefn.iso_utc(timefn.parse_ts(have("created_at", "timestamp"))), artifact=F.lit(path), skip_reason=C.noise_reason(role, text),
     )

@@ -152,7 +152,7 @@ def test_ann_rows_are_exact_rows(spark):
 def test_phrase_and_short_terms(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "Alpha beta-gamma"), (2, "alphabet"), (3, "beta, gamma"), (4, None)], "id long, text string")
     terms = spark.createDataFrame([("alpha",), ("a",), ("beta-gamma",), ("zz",), (",",)], "term string")
-    want = {("alpha", 1), ("alpha", 2), ("a", 1), ("a", 2), ("a", 3), ("beta-gamma", 1)}
+    want = {("alpha", 1), ("alpha", 2), ("a", 1), ("a", 2), ("a", 3), ("beta-gamma", 1), (",", 3)}
     got = lambda: {(r["term"], r["id"]) for r in lexical.term_matches(terms, docs, "id", [F.col("text")]).collect()}
     assert got() == want
     monkeypatch.setattr(lexical, "BROADCAST_HITS", 0)
@@ -186,6 +186,68 @@ def test_wide_and_narrow_ranges(spark):
     assert got == want
 
 
+def test_ranges_of_any_width(spark):
+    bounds = [(1, 0, 4 * 10**10), (2, 10, 11), (3, -(10**12), 10**12), (4, 3 * 10**10, 3 * 10**10 + 5), (5, 0, 10**15)]
+    r = spark.createDataFrame(bounds, "n long, lo long, hi long")
+    points = [5, 10, 10**10, 3 * 10**10, 3 * 10**10 + 4, 10**12, -(10**12), -1, 10**15 - 1, 10**15]
+    p = spark.createDataFrame([(x,) for x in points], "p long")
+    for bucket in (1, 64, 1024):
+        got = {(x["n"], x["p"]) for x in lineage.contained_in_ranges(p, r, "p", "lo", "hi", bucket=bucket).collect()}
+        assert got == {(n, v) for n, lo, hi in bounds for v in points if lo <= v < hi}
+    assert lineage.contained_in_ranges(p, r.limit(0), "p", "lo", "hi").count() == 0
+
+
+def test_greedy_rules_settle_long_paths(spark):
+    n = 1000
+    path = spark.range(0, n - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    chosen = sorted(r["id"] for r in clusters.greedy_leaders(spark.range(n), path).collect())
+    assert chosen == list(range(0, n, 2))
+    pairs = sorted((r["i"], r["j"]) for r in clusters.greedy_pairs(path).collect())
+    assert pairs == [(k, k + 1) for k in range(0, n, 2)]
+    members = spark.range(n).select("id", F.col("id").alias("rep"))
+    pairs = sorted((r["i"], r["j"]) for r in clusters._group_pairs(members, path, 2).collect())
+    assert pairs == [(k, k + 1) for k in range(0, n, 2)]
+
+
+def test_greedy_finish_equals_rounds(spark):
+    import random
+
+    rng = random.Random(2)
+    edges = sorted({tuple(sorted(rng.sample(range(80), 2))) for _ in range(150)})
+    e = spark.createDataFrame(edges, "i long, j long")
+    lead, used, pairs = [], set(), []
+    for v in range(80):
+        if not any((u, v) in edges for u in lead if u < v):
+            lead.append(v)
+    for a, b in edges:
+        if a not in used and b not in used:
+            used |= {a, b}
+            pairs.append((a, b))
+    for rounds in (1, 2, 8):
+        assert sorted(r["id"] for r in clusters.greedy_leaders(spark.range(80), e, rounds).collect()) == lead
+        assert sorted((r["i"], r["j"]) for r in clusters.greedy_pairs(e, rounds).collect()) == pairs
+
+
+def test_mutual_neighbours_leave_out_the_item_itself(spark):
+    copies = [(i, [1.0, 0.0]) for i in range(5)] + [(5, [0.0, 1.0])]
+    df = spark.createDataFrame(copies, "id long, vec array<double>")
+    near = vectors.top_k_cosine(df.select(F.col("id").alias("query_id"), "vec"), df, 2, 0.5, dims=2, but_own=True)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert got == {0: {1, 2}, 1: {0, 2}, 2: {0, 1}, 3: {0, 1}, 4: {0, 1}}
+    comp = {r["id"]: r["component"] for r in clusters.mutual_knn_components(df, 2, 0.5, dims=2).collect()}
+    assert comp == {0: 0, 1: 0, 2: 0}
+
+
+def test_a_provider_that_returns_too_few_vectors_fails_the_batch(spark):
+    fn = lambda texts: [[1.0]] * (len(texts) - 1 if len(texts) > 1 else 1)
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    assert {r["outcome"] for r in providers.embed(df, "id", "t", fn).collect()} == {"ok"}
+    none = lambda texts: []
+    assert {r["error_class"] for r in providers.embed(df, "id", "t", none).collect()} == {"invalid_input"}
+
+
 def test_embedding_failures_become_rows(spark):
     def fn(texts):
         if any("bad" in t for t in texts):
