@@ -95,3 +95,90 @@ def peer_csv_import(t):
     )
     rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     return readers.kept(readers.peer_csv(t.spark, path)).select("session_id", "event_id", "content", "ord")
+
+
+def _flat(text):
+    """A text on one line, as line-based formats need it."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+FLAT_SQL = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+def _write_by_session(t, shape: str, parts: list[tuple[int, DataFrame]]) -> str:
+    """One file per session from (place, rows of sid, turn, value); places order head, body and foot."""
+    path = _folder(t, shape)
+    both = None
+    for place, df in parts:
+        own = df.select("sid", F.lit(place).alias("place"), "turn", "value")
+        both = own if both is None else both.unionByName(own)
+    ordered = both.repartition("sid").sortWithinPartitions("sid", "place", "turn")
+    ordered.select("value", F.col("sid").alias("session")).write.partitionBy("session").text(path)
+    return f"{path}/*"
+
+
+def _once(rows: DataFrame, value) -> DataFrame:
+    return rows.select("sid").distinct().select("sid", F.lit(0).cast("long").alias("turn"), value.alias("value"))
+
+
+@reg.query("S2", f"SELECT conv_id::VARCHAR AS session_id, {IDS} AS event_id, role, trim(text) AS content FROM conversations WHERE {TALK_SQL} AND trim(text) <> ''")
+def event_log_import(t):
+    rows = _rows(t).filter(F.col("role").isin("user", "assistant"))
+    head = _once(rows, F.to_json(F.struct(F.lit("session").alias("type"), F.col("sid").alias("id"), F.lit(4).alias("version"))))
+    user = F.to_json(F.struct(
+        F.lit("user/message").alias("type"), F.lit(1767225600000).alias("time"),
+        F.struct(F.col("eid").alias("id"), F.struct(F.lit("user").alias("kind")).alias("source"), F.col("text").alias("content")).alias("data"),
+    ))
+    bot = F.to_json(F.struct(
+        F.lit("assistant/message").alias("type"), F.lit(1767225600000).alias("time"),
+        F.struct(F.struct(F.col("eid").alias("id"), F.col("text").alias("content")).alias("message")).alias("data"),
+    ))
+    body = rows.select("sid", "turn", F.when(F.col("role") == "user", user).otherwise(bot).alias("value"))
+    return _shown(readers.event_log(t.spark, _write_by_session(t, "events", [(0, head), (1, body)])))
+
+
+@reg.query("S6", f"SELECT conv_id::VARCHAR AS session_id, role, {FLAT_SQL} AS content FROM conversations WHERE {TALK_SQL} AND {FLAT_SQL} <> ''")
+def trajectory_import(t):
+    rows = _rows(t).filter(F.col("role").isin("user", "assistant"))
+    head = _once(rows, F.to_json(F.struct(F.lit("session.started").alias("type"), F.struct(F.col("sid").alias("sessionKey")).alias("data"))))
+    stamped = F.concat(F.lit("[Wed 2026-04-22 01:59 GMT+8] "), _flat(F.col("text")))
+    user = F.to_json(F.struct(F.lit("prompt.submitted").alias("type"), F.struct(stamped.alias("prompt")).alias("data")))
+    bot = F.to_json(F.struct(F.lit("model.completed").alias("type"), F.struct(F.array(_flat(F.col("text"))).alias("assistantTexts")).alias("data")))
+    body = rows.select("sid", "turn", F.when(F.col("role") == "user", user).otherwise(bot).alias("value"))
+    found = readers.trajectory(t.spark, _write_by_session(t, "trajectory", [(0, head), (1, body)]))
+    return readers.kept(found).select("session_id", "role", "content")
+
+
+@reg.query("S9", f"SELECT conv_id::VARCHAR AS session_id, {IDS} AS event_id, text AS content FROM conversations WHERE trim(text) <> ''")
+def copy_dump_import(t):
+    rows = _rows(t)
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    head = _once(rows, F.lit("COPY public.messages (id, content, peer_name, session_name, created_at) FROM stdin;"))
+    body = rows.select("sid", "turn", F.concat_ws("\t", "eid", escaped, F.lit("owner"), "sid", F.lit("2026-01-01 00:00:00")).alias("value"))
+    foot = _once(rows, F.lit("\\."))
+    path = _write_by_session(t, "dump", [(0, head), (1, body), (2, foot)])
+    return readers.kept(readers.copy_dump(t.spark, path)).select("session_id", "event_id", "content")
+
+
+@reg.query("S10", f"SELECT role, {FLAT_SQL} AS content, count(*) AS n FROM conversations WHERE {TALK_SQL} AND {FLAT_SQL} <> '' GROUP BY 1, 2")
+def chat_markdown_import(t):
+    rows = _rows(t).filter(F.col("role").isin("user", "assistant"))
+    head = _once(rows, F.lit("### 09:30"))
+    date = _once(rows, F.lit("## 2026-01-05"))
+    mark = F.when(F.col("role") == "user", "- \U0001f464 ").otherwise("- \U0001f916 ")
+    body = rows.select("sid", "turn", F.concat(mark, _flat(F.col("text"))).alias("value"))
+    found = readers.kept(readers.chat_markdown(t.spark, _write_by_session(t, "chat", [(0, date), (1, head), (2, body)])))
+    return found.groupBy("role", "content").agg(F.count("*").alias("n"))
+
+
+@reg.query("S20", "SELECT conv_id, turn, role, length(text) AS n_chars, (SELECT count(*) FROM conversations) AS results_rows FROM conversations")
+def evaluation_files(t):
+    from mnemolake.sources import sinks
+
+    folder = _folder(t, "evaluation")
+    results = t.conversations.select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
+    latency = t.conversations.select("conv_id", F.col("turn").alias("ms"))
+    sinks.write_evaluation(results, latency, folder, {"k": 1})
+    rows = t.spark.read.json(f"{folder}/manifest").first()["results_rows"]  # the manifest is one row
+    back = t.spark.read.schema("conv_id long, turn long, role string, n_chars long").json(f"{folder}/results")
+    return back.withColumn("results_rows", F.lit(rows).cast("long"))
