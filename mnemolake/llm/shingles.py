@@ -190,6 +190,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     total = text_bytes(named, "body")
     n_chunks, n_buckets = parts_for(total, CHUNK_BYTES, 12), parts_for(total, BUCKET_BYTES, 12)
     names = ["h1", "h2", "doc_id", "body"]
+    layout = pa.schema([(c, pa.int64()) for c in names[:3]] + [("body", pa.binary())])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first row of each text with the text, later ones only where their document is smaller."""
@@ -202,11 +203,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
                 if held is None or doc < held:
                     (take if held is None else bare).append(i)
                     seen[a, b] = doc
-            whole = batch.select(names).take(pa.array(take, pa.int64()))
-            yield whole
+            columns = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(take, pa.int64())) for c in columns], schema=layout)
             if bare:
-                few = batch.select(names).take(pa.array(bare, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*few.columns[:3], pa.nulls(len(bare), pa.binary())], names=names)
+                few = [c.take(pa.array(bare, pa.int64())) for c in columns[:3]]
+                yield pa.RecordBatch.from_arrays([*few, pa.nulls(len(bare), pa.binary())], schema=layout)
             if len(seen) > SEEN_TEXTS:
                 seen.clear()
 

@@ -202,6 +202,19 @@ def test_substrings_against_brute_force(spark, small):
     assert cut_rows(substrings.remove_repeats(documents(spark, texts))) == cut_brute(texts)
 
 
+def test_a_chunk_is_read_alike_in_any_order(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    found = [(i, "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 90_000))).encode()) for i in range(12)] + [(None, b"x" * 80)]
+    marks = []
+    for _ in range(3):
+        rng.shuffle(found)
+        chunk = substrings.Chunk(pa.table({"doc_id": [i for i, _ in found], "body": [b for _, b in found]}), None, 5)
+        marks.append((chunk.h.tobytes(), chunk.f.tobytes(), chunk.first_of.tobytes(), sorted((k, v.tobytes()) for k, v in chunk.by_bucket.items())))
+    assert marks[0] == marks[1] == marks[2]
+
+
 def test_substrings_long_and_empty(spark, monkeypatch):
     long = "".join(random.Random(5).choice("abcdefgh ") for _ in range(600_000))
     found = [(1, long), (2, "x" + long[1000:]), (3, None), (4, "")]
@@ -274,6 +287,12 @@ def test_jaccard_empty_and_without_links(spark):
     assert rows(shingles.jaccard_components(documents(spark, alone)).select("doc_id", "component_id")) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_jaccard_copies_in_falling_order_of_ids(spark):
+    texts = [(i, f"copy number {i % 3} of a text with some words") for i in range(40, 0, -1)]
+    docs = documents(spark, texts).coalesce(1)
+    assert rows(shingles.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")) == components_brute(texts)
+
+
 def test_links_in_fragments(monkeypatch):
     monkeypatch.setattr(shingles, "FRAGMENT_CELLS", 64)
     sets = shingles.gram_sets([t.encode() for t in near_copies(40)], 4)
