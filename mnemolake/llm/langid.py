@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,8 @@ SAMPLE_CHARS = 4000
 FEATURE_BITS = 16
 LEXICON_WORDS = 2000
 BLOCK = 64
-BATCH_WORDS = 400_000
-KEPT_WORDS = 500_000
+BATCH_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 def words_of(text: str) -> list[str]:
@@ -63,6 +63,10 @@ def feature_ids(word: str, lexicon: dict[str, int], bits: int = FEATURE_BITS) ->
     return out
 
 
+#: Of the model used last: packed scores by word, at most KEPT_WORDS.
+_known: dict[int, dict[str, bytes]] = {}
+
+
 @dataclass
 class Model:
     """Labels, lexicon (word to the language where it is most usual), emission weights, transition weights."""
@@ -72,14 +76,19 @@ class Model:
     emit: np.ndarray
     trans: np.ndarray
     start: np.ndarray
-    known: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    mark: int = 0
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+    def sealed(self) -> Model:
+        """With a checksum of the weights, which workers tell models apart by."""
+        self.mark = zlib.crc32(self.emit.tobytes()) << 32 | zlib.crc32(self.trans.tobytes() + self.start.tobytes())
+        return self
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Scores of each word for each label; a worker keeps those of words it has seen."""
-        known = self.known
+        """Scores of each word for each label; a worker keeps those of words it has seen, over all its tasks with one model."""
+        if self.mark not in _known:
+            _known.clear()
+            _known[self.mark] = {}
+        known = _known[self.mark]
         missing = {w for w in words if w not in known}
         if len(known) + len(missing) > KEPT_WORDS:
             known.clear()
@@ -208,7 +217,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.05, seed
     emit = np.zeros((1 << FEATURE_BITS, n))
     model = Model(labels, lexicon, emit, np.eye(n), np.zeros(n))
     if n == 1:
-        return model
+        return model.sealed()
     chains = _training_chains(lists, labels, seed)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(x for c in chains for x in c[0]))}
     ids = [feature_ids(w, lexicon) for w in vocabulary]
@@ -254,7 +263,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.05, seed
                 s += 0.001 * g * g
                 q += rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
     model.emit = emit.astype(np.float32)
-    return model
+    return model.sealed()
 
 
 def learn(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, most_langs: int = 64) -> Model | None:
@@ -286,40 +295,52 @@ def predict_texts(model: Model | None, texts: list[str | None]) -> list[tuple[st
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     if model is None:
         return out
-    lists = [words_of(t) if t else [] for t in texts]
-    at = [i for i, w in enumerate(lists) if w]
-    begin = 0
-    while begin < len(at):
-        end, size = begin, 0
-        while end < len(at) and (end == begin or size + len(lists[at[end]]) <= BATCH_WORDS):
-            size += len(lists[at[end]])
-            end += 1
-        own = at[begin:end]
-        lengths = np.array([len(lists[i]) for i in own])
-        scores = model.emissions([w for i in own for w in lists[i]])
-        p = forward_backward(scores, lengths, model.trans, model.start)
+    at: list[int] = []
+    lists: list[list[str]] = []
+    size = 0
+
+    def settle() -> None:
+        lengths = np.array([len(w) for w in lists])
+        p = forward_backward(model.emissions([x for w in lists for x in w]), lengths, model.trans, model.start)
         mean = np.add.reduceat(p, np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0) / lengths[:, None]
-        for i, m in zip(own, mean):
+        for i, m in zip(at, mean):
             k = int(np.argmax(m))
             out[i] = (model.labels[k], min(1.0, float(m[k])))
-        begin = end
+
+    # only the words of one group of texts are held at a time
+    for i, t in enumerate(texts):
+        words = words_of(t) if t else []
+        if not words:
+            continue
+        if lists and size + len(words) > BATCH_WORDS:
+            settle()
+            at, lists, size = [], [], 0
+        at.append(i)
+        lists.append(words)
+        size += len(words)
+    if lists:
+        settle()
     return out
 
 
 def identify(docs: DataFrame, model: Model | None, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Add lang_pred and score to the ``id_cols`` of every row; whole texts are read, no other column."""
 
+    # a text that is returned anyway is not sent twice
+    given = [*id_cols] if text_col in id_cols else [*id_cols, text_col]
+    place = given.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = predict_texts(model, batch.column(len(id_cols)).to_pylist())
+            found = predict_texts(model, batch.column(place).to_pylist())
             own = [batch.column(i) for i in range(len(id_cols))]
             langs, scores = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
                 own + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*id_cols, "lang_pred", "score"]
             )
 
-    picked = docs.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1])
+    picked = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in given])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[: len(id_cols)])
     return picked.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 

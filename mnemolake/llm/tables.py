@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 from mnemolake.session import ensure_checkpoint_dir, prepare
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table, read through Spark whatever store the folder is in."""
+#: Rows of a batch that a Python function receives, so that batches of long texts stay small.
+BATCH_ROWS = 2000
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Session options of these operators, and the shared folder for cuts."""
     prepare(spark)
     ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One given table, read through Spark whatever store the folder is in."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
