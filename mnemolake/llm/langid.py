@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.tables import table
+from mnemolake.llm.tables import keep_only, table
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -85,6 +85,7 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of each word for each label; a worker keeps those of words it has seen, over all its tasks with one model."""
+        keep_only("langid", _known)
         if self.mark not in _known:
             _known.clear()
             _known[self.mark] = {}

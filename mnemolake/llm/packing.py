@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.tables import parts_for, table
+from mnemolake.llm.tables import keep_only, parts_for, table
 
 CAPACITY = 4096
 END_ID = 2
@@ -137,6 +137,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokens(path or default_model())
+        keep_only("packing", own)
         seen = 0
         for batch in batches:
             kind = batch.schema.field(0).type

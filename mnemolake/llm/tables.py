@@ -40,3 +40,15 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
 
 def sha256_hex(col: Column) -> Column:
     return F.sha2(col, 256)
+
+
+_in_use: dict[str, dict] = {}
+
+
+def keep_only(name: str, held: dict) -> None:
+    """Empty the tables that other operators keep in this worker when ``name`` starts to use its own, so that a pipeline's stages do not add up."""
+    if name not in _in_use:
+        for other in _in_use.values():
+            other.clear()
+        _in_use.clear()
+        _in_use[name] = held
