@@ -93,12 +93,18 @@ def fragments(data: np.ndarray, lengths: np.ndarray, frequent: np.ndarray | None
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _chunk(docs: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids with null as None, bytes of all texts with an id end to end, lengths (0 without an id), and the id per document."""
-    ids = docs.column("doc_id").to_pylist()
-    texts = [t or b"" if i is not None else b"" for i, t in zip(ids, docs.column("body").to_pylist())]
+def _chunk(docs: pa.Table) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids with null as None, bodies, bytes of all texts with an id end to end, lengths (0 without an id), and the id per document.
+
+    Rows of a chunk arrive in any order; they are put into one order, so that
+    every pass over a chunk finds the same slabs and fragments.
+    """
+    ids, bodies = docs.column("doc_id").to_pylist(), [t or b"" for t in docs.column("body").to_pylist()]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, bodies[i]))
+    ids, bodies = [ids[i] for i in order], [bodies[i] for i in order]
+    texts = [t if i is not None else b"" for i, t in zip(ids, bodies)]
     data = np.frombuffer(b"".join(texts), np.uint8)
-    return ids, data, np.array([len(t) for t in texts], np.int64), np.array([i or 0 for i in ids], np.int64)
+    return ids, bodies, data, np.array([len(t) for t in texts], np.int64), np.array([i or 0 for i in ids], np.int64)
 
 
 def _classes(h: np.ndarray, f: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +115,25 @@ def _classes(h: np.ndarray, f: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     return order, np.flatnonzero(new)
 
 
+class Chunk:
+    """Fragments of a chunk's documents and their classes of equal owner and fragment hashes.
+
+    Classes are numbered in the order of their hashes, and within each bucket in that
+    order too: a bucket's answer names a class by its place there, which every pass over the chunk finds again.
+    """
+
+    def __init__(self, docs: pa.Table, frequent: np.ndarray | None, n_buckets: int):
+        self.raw, self.bodies, self.data, self.lengths, self.ids = _chunk(docs)
+        self.h, self.f, self.doc, self.s0, self.s1 = fragments(self.data, self.lengths, frequent)
+        self.order, self.first = _classes(self.h, self.f, self.ids[self.doc])
+        #: the fragment of each class in its smallest document
+        self.first_of = self.order[self.first]
+        bucket = (self.h[self.first_of] % U(n_buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        keys, starts = np.unique(bucket[by], return_index=True)
+        self.by_bucket = dict(zip(keys.tolist(), np.split(by, starts[1:]))) if len(keys) else {}
+
+
 def _blobs(key: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """One (key, kind, packed columns) per distinct key."""
     order = np.argsort(key, kind="stable")
@@ -133,11 +158,6 @@ def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _joined(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
-    parts = [_unpack(b, *kinds) for b in blobs]
-    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in kinds]
-
-
 def _packed(h: np.ndarray, f: np.ndarray, doc: np.ndarray) -> bytes:
     """Owner hashes, 48-bit fragment hashes and documents in as few bytes as hold them: the corpus' largest shuffle."""
     wide = len(doc) and (doc.min() < 0 or doc.max() >= 1 << 32)
@@ -289,98 +309,87 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     schema = "key long, kind long, data binary"
 
     def emit(key: tuple, docs: pa.Table) -> pa.Table:
-        _, data, lengths, ids = _chunk(docs)
-        h, f, doc, _, _ = fragments(data, lengths, frequent)
-        order, first = _classes(h, f, ids[doc])
-        own = order[first]
-        h, f, d = h[own], f[own], ids[doc[own]]
-        bucket = (h % U(n_buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        keys, starts = np.unique(bucket[by], return_index=True)
-        parts = np.split(by, starts[1:]) if len(keys) else []
-        return _table([(k, key[0].as_py(), _packed(h[p], f[p], d[p])) for k, p in zip(keys.tolist(), parts)], names)
+        own = Chunk(docs, frequent, n_buckets)
+        c = own.first_of
+        rows = [
+            (b, key[0].as_py(), _packed(own.h[c[p]], own.f[c[p]], own.ids[own.doc[c[p]]])) for b, p in own.by_bucket.items()
+        ]
+        return _table(rows, names)
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        blobs, chunk_of = rows.column("data").to_pylist(), rows.column("kind").to_numpy()
-        unpacked = [_unpacked(b) for b in blobs]
+        unpacked = [_unpacked(b) for b in rows.column("data").to_pylist()]
+        sizes = [len(u[0]) for u in unpacked]
         h, f, d = (np.concatenate(c) for c in zip(*unpacked))
-        chunk = np.repeat(chunk_of, [len(u[0]) for u in unpacked])
+        chunk = np.repeat(rows.column("kind").to_numpy(), sizes)
+        number = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
         order, first = _classes(h, f, d)
-        h, f, d, chunk = h[order], f[order], d[order], chunk[order]
-        sizes = np.diff(np.append(first, len(h)))
-        whole = d > np.repeat(d[first], sizes)
+        h, d, chunk, number = h[order], d[order], chunk[order], number[order]
+        whole = d > np.repeat(d[first], np.diff(np.append(first, len(h))))
         # owners with fragments of different texts whose smallest documents differ
         ch, cd = h[first], d[first]
-        begin = np.flatnonzero(np.concatenate([[True], ch[1:] != ch[:-1]])) if len(ch) else np.zeros(0, np.int64)
-        several = np.zeros(0, bool)
-        if len(ch):
-            differ = np.minimum.reduceat(cd, begin) < np.maximum.reduceat(cd, begin)
-            several = np.repeat(differ, np.diff(np.append(begin, len(ch))))
-        ask = first[several]
-        return _table(
-            list(_blobs(chunk[whole], 0, h[whole], f[whole])) + list(_blobs(chunk[ask], 1, h[ask], f[ask])), names
-        )
+        begin = np.flatnonzero(np.concatenate([[True], ch[1:] != ch[:-1]]))
+        differ = np.minimum.reduceat(cd, begin) < np.maximum.reduceat(cd, begin)
+        ask = first[np.repeat(differ, np.diff(np.append(begin, len(ch))))]
+        head = key[0].as_py().to_bytes(8, "little")
+        out = _blobs(chunk[whole], 0, number[whole]), _blobs(chunk[ask], 1, number[ask])
+        return _table([(k, kind, head + b) for part in out for k, kind, b in part], names)
 
     def texts(key: tuple, docs: pa.Table, asked: pa.Table) -> pa.Table:
         kind, blobs = asked.column("kind").to_pylist(), asked.column("data").to_pylist()
-        # answers that are already known pass through, in a bucket of their own chunk's number
+        # answers that are already known pass through, in a bucket that the chunk's number chooses
         rows = [(key[0].as_py() % n_buckets, -1 - key[0].as_py(), b) for k, b in zip(kind, blobs) if k == 0]
         wanted = [b for k, b in zip(kind, blobs) if k == 1]
         if wanted:
-            _, data, lengths, ids = _chunk(docs)
-            h, f, doc, s0, s1 = fragments(data, lengths, frequent)
-            order, first = _classes(h, f, ids[doc])
-            own = order[first]
-            wh, wf = _joined(wanted, U, U)
-            own = own[_held(h[own], f[own], wh, wf) >= 0]
-            bucket = (h[own] % U(n_buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            keys, starts = np.unique(bucket[by], return_index=True)
-            for k, part in zip(keys.tolist(), np.split(own[by], starts[1:])):
-                size = (s1[part] - s0[part] + WIDTH).astype(np.uint8)
-                text = b"".join([data[a : b + WIDTH].tobytes() for a, b in zip(s0[part].tolist(), s1[part].tolist())])
-                head = len(part).to_bytes(4, "little")
-                rows.append((k, key[0].as_py(), head + h[part].tobytes() + f[part].tobytes() + ids[doc[part]].tobytes() + size.tobytes() + text))
+            own = Chunk(docs, frequent, n_buckets)
+            for blob in wanted:
+                bucket, number = int.from_bytes(blob[:8], "little"), np.frombuffer(blob, np.uint32, offset=8)
+                part = own.first_of[own.by_bucket[bucket][number]]
+                s0, s1 = own.s0[part], own.s1[part] + WIDTH
+                text = b"".join([own.data[a:b].tobytes() for a, b in zip(s0.tolist(), s1.tolist())])
+                doc, size = own.ids[own.doc[part]], (s1 - s0).astype(np.uint8)
+                rows.append((bucket, key[0].as_py(), b"".join([len(part).to_bytes(4, "little"), number.tobytes(), doc.tobytes(), size.tobytes(), text])))
         return _table(rows, names)
 
     def sort(key: tuple, rows: pa.Table) -> pa.Table:
         out, parts, texts_ = [], [], []
         for chunk, blob in zip(rows.column("kind").to_pylist(), rows.column("data").to_pylist()):
             if chunk < 0:
-                h, f = _unpack(blob, U, U)
-                out.append((-1 - chunk, 0, h.tobytes() + f.tobytes() + np.full(len(h), WHOLE).tobytes()))
+                out.append((-1 - chunk, 0, blob))
                 continue
             n = int.from_bytes(blob[:4], "little")
-            h, f, d, size = _unpack(blob[4 : 4 + 25 * n], U, U, np.int64, np.uint8)
-            parts.append((h, f, d, size, np.full(n, chunk)))
-            texts_.append(blob[4 + 25 * n :])
+            parts.append((*_unpack(blob[4 : 4 + 13 * n], np.uint32, np.int64, np.uint8), np.full(n, chunk)))
+            texts_.append(blob[4 + 13 * n :])
         if parts:
-            h, f, d, size, chunk = [np.concatenate(c) for c in zip(*parts)]
-            text = b"".join(texts_)
+            number, d, size, chunk = [np.concatenate(c) for c in zip(*parts)]
             n_windows = size.astype(np.int64) - WIDTH + 1
             begin = np.concatenate([[0], np.cumsum(size.astype(np.int64))[:-1]])
-            frag = np.repeat(np.arange(len(h)), n_windows)
+            frag = np.repeat(np.arange(len(d)), n_windows)
             inside = np.arange(len(frag)) - np.repeat(np.concatenate([[0], np.cumsum(n_windows)[:-1]]), n_windows)
-            order, group = sort_windows(text, begin[frag] + inside)
+            order, group = sort_windows(b"".join(texts_), begin[frag] + inside)
             doc = d[frag[order]]
             least = np.minimum.reduceat(doc, np.flatnonzero(np.diff(group, prepend=-1)))
             hit = order[doc > least[group]]
-            bits = np.zeros(len(h), np.uint32)
+            bits = np.zeros(len(d), np.uint32)
             np.bitwise_or.at(bits, frag[hit], np.uint32(1) << inside[hit].astype(np.uint32))
             told = np.flatnonzero(bits)
-            out += list(_blobs(chunk[told], 0, h[told], f[told], bits[told]))
+            head = key[0].as_py().to_bytes(8, "little")
+            out += [(k, 1, head + b) for k, _, b in _blobs(chunk[told], 1, number[told], bits[told])]
         return _table(out, names)
 
     def cut_out(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        raw, data, lengths, ids = _chunk(docs)
-        h, f, doc, s0, s1 = fragments(data, lengths, frequent)
-        order, first = _classes(h, f, ids[doc])
-        least = ids[doc[order[first]]]
-        ah, af, bits = _joined(answers.column("data").to_pylist(), U, U, np.uint32)
-        told = _held(h[order[first]], f[order[first]], ah, af)
-        mask = np.where(told >= 0, bits[told] if len(bits) else 0, 0).astype(np.uint32)
+        own = Chunk(docs, frequent, n_buckets)
+        raw, data, lengths, ids, doc, s0, s1 = own.raw, own.data, own.lengths, own.ids, own.doc, own.s0, own.s1
+        order, first = own.order, own.first
+        mask = np.zeros(len(first), np.uint32)
+        for kind, blob in zip(answers.column("kind").to_pylist(), answers.column("data").to_pylist()):
+            mine = own.by_bucket[int.from_bytes(blob[:8], "little")]
+            if kind == 0:
+                mask[mine[np.frombuffer(blob, np.uint32, offset=8)]] |= WHOLE
+            else:
+                number, bits = _unpack(blob[8:], np.uint32, np.uint32)
+                mask[mine[number]] |= bits
         sizes = np.diff(np.append(first, len(order)))
-        every = (ids[doc[order]] > np.repeat(least, sizes)) | (np.repeat(mask, sizes) & WHOLE > 0)
+        every = (ids[doc[order]] > np.repeat(ids[doc[own.first_of]], sizes)) | (np.repeat(mask, sizes) & WHOLE > 0)
         some = np.flatnonzero(~every & (np.repeat(mask, sizes) > 0))
         hit = np.zeros(len(data) + 1, np.int32)
         whole = order[every]
@@ -394,17 +403,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         gone = np.cumsum(hit)[:-1] > 0
         begin = np.cumsum(lengths) - lengths
         kept, spans, n_bytes = [], [], []
-        bodies = docs.column("body").to_pylist()
+        bodies = own.bodies
         for i, (b, n) in enumerate(zip(begin.tolist(), lengths.tolist())):
             mine = gone[b : b + n]
             if raw[i] is None or not mine.any():
-                kept.append(bodies[i] or b"")
+                kept.append(bodies[i])
                 spans.append([])
             else:
                 kept.append(data[b : b + n][~mine].tobytes())
                 edge = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0))
                 spans.append([{"start": s, "length": e - s} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())])
-            n_bytes.append(len(bodies[i] or b""))
+            n_bytes.append(len(bodies[i]))
         span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         return pa.table(
             [pa.array(raw, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span)],
@@ -419,17 +428,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
 
 
-def _held(h: np.ndarray, f: np.ndarray, ah: np.ndarray, af: np.ndarray) -> np.ndarray:
-    """Place in (ah, af) of each pair (h, f), or -1. Pairs of (h, f) are distinct."""
-    if not len(ah):
-        return np.full(len(h), -1)
-    key, akey = mix(h ^ mix(f)), mix(ah ^ mix(af))
-    order = np.argsort(akey)
-    at = np.minimum(np.searchsorted(akey[order], key), len(order) - 1)
-    place = order[at]
-    return np.where((ah[place] == h) & (af[place] == f), place, -1)
-
-
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without 50-byte strings of earlier ones."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
