@@ -36,7 +36,7 @@ from mnemolake.llm.tables import parts_for, table
 
 SCALE = 64
 LARGEST = 2**25
-PAGE = 256
+PAGE = 512
 FANOUT = 16
 MOST_PIVOTS = 256
 SAMPLE_ROWS = 4096
@@ -53,7 +53,7 @@ def _distances(x: np.ndarray, even: np.ndarray, center: np.ndarray, center_even:
 
 
 class Node:
-    """A page: either rows (``at``, places in the part) or routing entries; each entry has its distance to the page's own center."""
+    """A page: either rows (``at`` is the place of the first, they lie together) or routing entries; each entry has its distance to the page's own center."""
 
     __slots__ = ("at", "apart", "centers", "evens", "radii", "children")
 
@@ -73,7 +73,12 @@ class MTree:
         self.computed = 0
         middle = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
         self.center, self.center_even = middle, float(self.even.mean()) if len(x) else 0.0
+        self._pages: list[np.ndarray] = []
+        self._placed = 0
         self.root, self.radius = self._build(np.arange(len(x)), self.center, self.center_even)
+        # rows of a page lie together, so that a page is read as a slice
+        order = np.concatenate(self._pages)
+        self.ids, self.x, self.even = ids[order], np.ascontiguousarray(x[order]), self.even[order]
 
     def _build(self, at: np.ndarray, center: np.ndarray, even: float) -> tuple[Node, float]:
         node = Node()
@@ -81,7 +86,9 @@ class MTree:
         radius = float(apart.max(initial=0.0))
         if len(at) <= self.page:
             order = np.argsort(apart, kind="stable")
-            node.at, node.apart = at[order], apart[order]
+            node.at, node.apart = self._placed, apart[order]
+            self._pages.append(at[order])
+            self._placed += len(at)
             return node, radius
         wide = min(self.fanout, -(-len(at) // self.page))
         picks = at[np.linspace(0, len(at) - 1, wide).astype(int)]
@@ -99,17 +106,18 @@ class MTree:
         node.apart = _distances(node.centers, node.evens, center, even)
         return node, radius
 
-    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
-        self.computed += len(at)
+    def scores(self, begin: int, end: int, query: np.ndarray) -> np.ndarray:
+        self.computed += end - begin
         if self.exact:
-            return (self.x[at] @ query).astype(np.int64)
-        return self.x[at].astype(np.int64) @ query.astype(np.int64)
+            return self.x[begin:end] @ query
+        return self.x[begin:end].astype(np.int64) @ query.astype(np.int64)
 
     def top(self, query_id: int, query: np.ndarray, k: int, bound: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows (those below ``bound`` may be missing), best first."""
         size = float((query * query).sum())
         reach = lambda s: np.sqrt(max(0.0, size + self.longest2 - 2.0 * s))
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        least = -(2**63) if bound is None else bound
         limit = np.inf if bound is None else reach(bound)
         margin = 1e-9 * (1 + np.sqrt(size + self.longest2))
         first = float(_distances(query[None], np.zeros(1), self.center, self.center_even)[0])
@@ -122,19 +130,20 @@ class MTree:
             # the stored distance to the parent excludes entries before their own distance is computed
             if node.children is None:
                 a, b = np.searchsorted(node.apart, [here - limit - margin, here + limit + margin])
-                at = node.at[a:b]
-                at = at[self.ids[at] != query_id]
-                if not len(at):
+                if a == b:
                     continue
-                found = self.scores(at, query)
-                if len(scores) >= k:
-                    good = found >= scores[-1]
-                    at, found = at[good], found[good]
-                ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, found])
+                found = self.scores(node.at + a, node.at + b, query)
+                good = np.flatnonzero(found >= least)
+                if not len(good):
+                    continue
+                at = good + (node.at + a)
+                keep = self.ids[at] != query_id
+                ids, scores = np.concatenate([ids, self.ids[at[keep]]]), np.concatenate([scores, found[good[keep]].astype(np.int64)])
                 order = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[order], scores[order]
-                if len(scores) == k:
-                    limit = min(limit, reach(int(scores[-1])))
+                if len(scores) == k and scores[-1] > least:
+                    least = int(scores[-1])
+                    limit = min(limit, reach(least))
             else:
                 open_ = np.flatnonzero(np.abs(node.apart - here) - node.radii <= limit + margin)
                 far = _distances(node.centers[open_], node.evens[open_], query, 0.0)
