@@ -18,10 +18,19 @@ Defined cases: null text stays null, empty text stays empty; a text of one line
 rows with the same doc_id and text are one document and are changed alike; a null doc_id
 comes after all others; all columns and their order are kept, whatever their names; an empty
 table gives an empty table. A document that loses all its lines keeps an empty text.
+
+Boundaries are sparse, so a passage inside different texts seldom is a chunk of its own.
+``remove_repeated_passages`` finds every one: all pairs of neighbouring lines take the place of the
+chunks, and a line goes when it lies in a pair that occurs earlier, in another document or in
+the same one without sharing a line with it. A run of two or more lines that stands
+earlier so goes as a whole, wherever it begins or ends; a line that goes stays where it stood first.
+Pairs count as one when the SHA-256 of their texts are equal, so that no text is shuffled to compare them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,9 +94,25 @@ def document_chunks(rows: DataFrame, window: int, least: int, spacing: int) -> D
     return many.select("doc", "th", F.explode(let(F.split("text", "\n"), of_lines)).alias("c")).select("doc", "th", "c.*")
 
 
+def line_pairs(rows: DataFrame) -> DataFrame:
+    """Every two neighbouring lines of ``rows(doc, th, text)``, in the columns of ``document_chunks``; ``piece`` is the SHA-256 of their text."""
+    def of_lines(lines: Column) -> Column:
+        pieces = F.transform(F.slice(lines, 1, F.size(lines) - 1), lambda line, i: F.concat_ws("\n", line, F.get(lines, i + 1)))
+        return F.transform(pieces, lambda p, i: F.struct((i + 1).alias("first"), (i + 2).alias("last"), F.xxhash64(p).alias("hash"), p.alias("piece")))
+
+    many = rows.filter(F.instr("text", "\n") > 0)
+    found = many.select("doc", "th", F.explode(let(F.split("text", "\n"), of_lines)).alias("c")).select("doc", "th", "c.*")
+    # every line stands in two pairs: their texts would be shuffled twice
+    return found.withColumn("piece", F.unhex(F.sha2("piece", 256)))
+
+
 def repeated_chunks(rows: DataFrame, window: int = WINDOW, least: int = LEAST, spacing: int = SPACING) -> DataFrame:
     """Occurrences to remove from ``rows(doc, th, text)``: doc, th, first, last."""
-    found = document_chunks(rows, window, least, spacing)
+    return repeated_pieces(document_chunks(rows, window, least, spacing), 1)
+
+
+def repeated_pieces(found: DataFrame, lines: int) -> DataFrame:
+    """Occurrences of ``found`` but the first of each text and those that begin within its first ``lines`` lines."""
     repeated = cut(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
     word = F.col("hash").bitwiseAND(F.lit((1 << BITMAP_WORD_BITS) - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("hash", 58).cast("int"))
@@ -96,15 +121,16 @@ def repeated_chunks(rows: DataFrame, window: int = WINDOW, least: int = LEAST, s
     near = found.withColumn("word", word).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
     seen = cut(near.select("doc", "th", "first", "last", "hash", "piece").join(repeated, "hash", "left_semi"))
     place = F.struct(F.col("doc").isNull().alias("late"), "doc", "th", "first")
+    in_head = F.col("doc").eqNullSafe(F.col("head.doc")) & (F.col("th") == F.col("head.th")) & (F.col("first") < F.col("head.first") + lines)
     # the byte comparison: grouped by the text itself
     texts = seen.groupBy("hash", "piece").agg(F.min(place).alias("head"), F.count("*").alias("n"))
     by_hash = texts.groupBy("hash").agg(F.count("*").alias("texts"), F.min("head").alias("head"), F.max("n").alias("n"))
     small = seen.select("doc", "th", "first", "last", "hash")
-    alone = small.join(by_hash.filter("texts = 1 and n > 1"), "hash").filter(place != F.col("head"))
+    alone = small.join(by_hash.filter("texts = 1 and n > 1"), "hash").filter(~in_head)
     # different texts under one hash are told apart by their bytes
     mixed = by_hash.filter("texts > 1").select("hash")
     heads = texts.filter("n > 1").join(mixed, "hash", "left_semi")
-    apart = seen.join(mixed, "hash", "left_semi").join(heads, ["hash", "piece"]).filter(place != F.col("head"))
+    apart = seen.join(mixed, "hash", "left_semi").join(heads, ["hash", "piece"]).filter(~in_head)
     return alone.select("doc", "th", "first", "last").unionByName(apart.select("doc", "th", "first", "last"))
 
 
@@ -112,6 +138,15 @@ def remove_line_chunks(
     docs: DataFrame, window: int = WINDOW, least: int = LEAST, spacing: int = SPACING, count_col: str | None = None
 ) -> DataFrame:
     """``docs`` (with doc_id and text) without repeated chunks; ``count_col`` adds the number of removed lines."""
+    return _without(docs, lambda rows: repeated_chunks(rows, window, least, spacing), count_col)
+
+
+def remove_repeated_passages(docs: DataFrame, count_col: str | None = None) -> DataFrame:
+    """``docs`` (with doc_id and text) without any run of two or more lines that stands earlier; ``count_col`` as above."""
+    return _without(docs, lambda rows: repeated_pieces(line_pairs(rows), 2), count_col)
+
+
+def _without(docs: DataFrame, find: Callable[[DataFrame], DataFrame], count_col: str | None) -> DataFrame:
     # names are replaced while the work goes on, so that no column of the input can clash
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -119,24 +154,25 @@ def remove_line_chunks(
     rows = plain.withColumns({"doc": F.col(doc), "th": F.xxhash64(text)})
     # rows of one document and text are one: a repeated row must not count as a second occurrence
     single = rows.select("doc", "th", F.col(text).alias("text")).filter(F.instr("text", "\n") > 0)
-    gone = repeated_chunks(single, window, least, spacing).distinct()
+    gone = find(single).distinct()
     per_doc = gone.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(
         F.array_sort(F.collect_list(F.struct("first", "last"))).alias("gone")
     )
     joined = rows.join(per_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left")
-    # kept stretches lie before, between and behind the removed ones
+    # kept stretches lie before, between and behind the removed ones, which may overlap
     spans = F.concat(F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))), F.col("gone"))
 
     def rebuilt(lines: Column) -> Column:
         def stretch(s: Column, i: Column) -> Column:
             end = F.coalesce(F.get(F.col("gone"), i)["first"] - 1, F.size(lines))
-            return F.slice(lines, s["last"] + 1, end - s["last"])
+            return F.slice(lines, s["last"] + 1, F.greatest(end - s["last"], F.lit(0)))
 
         return F.array_join(F.flatten(F.transform(spans, stretch)), "\n")
 
     left = let(F.split(text, "\n"), rebuilt)
     out = joined
-    removed = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1), F.lit(0).cast("long"))
+    sizes = F.transform("gone", lambda s, i: s["last"] - F.greatest(s["first"] - 1, F.get(spans, i)["last"]))
+    removed = F.coalesce(F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n), F.lit(0).cast("long"))
     cols = [F.when(F.col("gone").isNull(), F.col(c)).otherwise(left).alias(n) if c == text else F.col(c).alias(n) for c, n in zip(plain.columns, names)]
     return out.select(*cols, *([removed.alias(count_col)] if count_col else []))
 
@@ -147,6 +183,12 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_line_chunks(docs, count_col="n_removed")
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without any repeated run of two or more lines, and how many lines each lost."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_passages(docs, count_col="n_removed")
+
+
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM d WHERE len(lines) >= 2),
@@ -162,3 +204,16 @@ x AS (SELECT c.doc_id, string_agg(CASE WHEN g.doc_id IS NULL THEN c.line END, ch
 SELECT d.doc_id, CASE WHEN x.n_removed > 0 THEN coalesce(x.text, '') ELSE d.text END AS text, coalesce(x.n_removed, 0) AS n_removed
 FROM d LEFT JOIN x ON x.doc_id = d.doc_id
 """
+
+PASSAGES_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM d WHERE len(lines) >= 2),
+p AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS piece FROM l),
+f AS (SELECT *, first_value(doc_id) OVER w AS doc0, first_value(i) OVER w AS i0 FROM p WHERE piece IS NOT NULL WINDOW w AS (PARTITION BY piece ORDER BY doc_id, i)),
+r AS (SELECT doc_id, i FROM f WHERE doc_id <> doc0 OR i >= i0 + 2),
+g AS (SELECT doc_id, i FROM r UNION SELECT doc_id, i + 1 FROM r),
+x AS (SELECT l.doc_id, string_agg(CASE WHEN g.doc_id IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS text, count(g.doc_id) AS n_removed
+  FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN x.n_removed > 0 THEN coalesce(x.text, '') ELSE d.text END AS text, coalesce(x.n_removed, 0) AS n_removed
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id
+"""

@@ -16,9 +16,12 @@ MODULES = {
     "op6_secret_scan": "secrets",
     "op7_sentencepieces": "sentencepieces",
     "op8_line_chunks": "linechunks",
+    "op8_repeated_passages": "linechunks",
     "op9_language_id": "langid",
     "op10_packing": "packing",
 }
+#: Twins that are not called ORACLE_SQL, where a module has two queries.
+TWINS = {"op8_repeated_passages": "PASSAGES_SQL"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,5 +29,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(importlib.import_module(f"mnemolake.llm.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
+    found = {name: getattr(importlib.import_module(f"mnemolake.llm.{module}"), TWINS.get(name, "ORACLE_SQL"), None) for name, module in MODULES.items()}
     return {name: sql for name, sql in found.items() if sql}

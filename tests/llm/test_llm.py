@@ -469,6 +469,39 @@ def test_line_chunks_under_one_hash_are_told_apart_by_their_bytes(spark, monkeyp
     assert got == {1: "a\nb", 2: "c\nd", 3: "", 4: "e\nf"}
 
 
+def passages_brute(found):
+    firsts, out = {}, []
+    for i, t in sorted({(i, t) for i, t in found if t is not None}, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        lines = t.split("\n")
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            firsts.setdefault(pair, (i, t, k))
+    for i, t in found:
+        lines, gone = (t or "").split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            doc, text, at = firsts[pair]
+            if (doc, text) != (i, t) or k >= at + 2:
+                gone |= {k, k + 1}
+        out.append((i, t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    return sorted(out, key=str)
+
+
+def test_repeated_passages_go_inside_different_texts(spark, small):
+    def text(name, passage):
+        return "\n".join([f"{name} one", f"{name} two", *passage, f"{name} three", f"{name} four"])
+
+    passages = [[f"passage {n} line {k}" for k in range(n)] for n in range(2, 9)]
+    texts = [(10 * n + c, text(f"doc {n} {c}", p)) for n, p in enumerate(passages) for c in range(3)]
+    got = {r["doc_id"]: (r["text"], r["gone"]) for r in linechunks.remove_repeated_passages(documents(spark, texts), count_col="gone").collect()}
+    for n, p in enumerate(passages):
+        assert got[10 * n] == (text(f"doc {n} 0", p), 0)
+        assert all(got[10 * n + c] == (text(f"doc {n} {c}", []), len(p)) for c in (1, 2))
+    odd = [t for t in ODD if t[0] != 7] + [(None, "a\nb\nc"), (30, "x\nx\nx"), (31, "y\ny\ny\ny\ny"), (32, "x\na\nb\na\nb\nc\nd"), (33, "c\nd\nx\nx")]
+    docs = documents(spark, small + odd)
+    out = linechunks.remove_repeated_passages(docs, count_col="gone")
+    assert out.columns == docs.columns + ["gone"] and rows(out.select("doc_id", "text", "gone")) == passages_brute(small + odd)
+    assert linechunks.remove_repeated_passages(documents(spark, [])).count() == 0
+
+
 # --- languages ------------------------------------------------------------------------------------------------------
 
 
