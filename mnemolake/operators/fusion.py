@@ -29,14 +29,16 @@ def lane_of(kind: Column) -> Column:
     return F.coalesce(table[kind], F.lit("vector"))
 
 
-def fuse(ranked: DataFrame, k: int = R.RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion; the best cosine of a candidate is kept."""
+def fuse(ranked: DataFrame, k: int = R.RRF_K, path_k: int | None = None) -> DataFrame:
+    """Reciprocal-rank fusion; the best cosine of a candidate is kept. Ranks behind ``path_k`` add nothing and are no vote."""
     part = path_weight(F.col("path")) / (F.lit(float(k)) + F.col("raw_rank"))
+    inside = F.lit(True) if path_k is None else F.col("raw_rank") <= path_k
+    part = part if path_k is None else F.when(inside, part).otherwise(0.0)
     return ranked.withColumn("contribution", part).groupBy(*HIT).agg(
         F.round(F.sum("contribution"), 6).alias("rrf"),
         F.max("cosine").alias("cosine"),
         F.max("created_at").alias("created_at"),
-        F.count("*").alias("votes"),
+        F.count_if(inside).alias("votes"),
     )
 
 

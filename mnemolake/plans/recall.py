@@ -55,9 +55,13 @@ def recall(
     promotions, reranking, selection. Returns every candidate with its trace.
 
     ``queries``: query_id, text, vec. ``items``: id, kind (qa, topic, note), text,
-    vec, created_at. Each lane keeps its best ``path_k`` rows per query, which
-    bounds all later stages by queries times lanes times ``path_k``.
+    vec, created_at. Suppressed items take no place in a lane. The best ``path_k`` rows
+    per query and lane count in the fusion; rows behind them stay candidates for the promotions,
+    and what no lane counts and nothing promotes ends as ``OUTSIDE_LANE`` without a position.
+    Only vector rows under ``floor`` are no candidates.
     """
+    named_items = items.withColumn("source_id", F.concat_ws("_", "kind", F.col("id").cast("string")))
+    valid = lineage.suppress(named_items, ledger)
     qa = items.filter(F.col("kind") == "qa")
     terms = cut(lexical.query_terms(queries))
     matches = cut(lexical.term_matches(terms, qa, "id", [F.col("text")], words_only=True))
@@ -65,27 +69,25 @@ def recall(
     total = qa.agg(F.count("*").alias("n")).scalar()
     signals = cut(lexical.qa_scores(terms, matches, freq, total, "id"))
     lex = signals.select("query_id", "id", F.col("score").alias("raw_score"), F.lit(0.0).alias("cosine"))
-    best = W.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
-    lex = lex.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= path_k).drop("_rn")
     lanes = [lex.withColumn("path", F.lit("keyword")), lex.withColumn("path", F.lit("qa_keyword"))]
     for kind, path in (("qa", "qa_vector"), ("topic", "topic_vector"), ("note", "note_vector")):
-        hits = vectors.top_k_cosine(queries, items.filter(F.col("kind") == kind), path_k, floor, dims=dims)
+        hits = vectors.top_k_cosine(queries, valid.filter(F.col("kind") == kind), None, floor, dims=dims)
         lanes.append(hits.select("query_id", "id", F.col("cosine").alias("raw_score"), "cosine", F.lit(path).alias("path")))
     union = lanes[0]
     for lane in lanes[1:]:
         union = union.unionByName(lane)
-    hits = union.join(items.select("id", "kind", "created_at"), "id").withColumn(
-        "source_id", F.concat_ws("_", "kind", F.col("id").cast("string"))
-    )
-    hits = lineage.suppress(hits, ledger)
-    ranked = fusion.ranked_paths(hits)
-    scored = fusion.decayed(fusion.fuse(ranked), as_of)
+    ranked = fusion.ranked_paths(union.join(valid.select("id", "kind", "created_at", "source_id"), "id"))
+    scored = fusion.decayed(fusion.fuse(ranked, path_k=path_k), as_of)
     named = lambda d: d.withColumn("source_id", F.concat(F.lit("qa_"), F.col("id").cast("string")))
     rare = named(
         terms.join(freq.filter("freq between 1 and 3"), "term").join(matches, "term").select("query_id", "id").distinct()
     )
     scored = fusion.rare_bonus(scored, rare)
-    scored = fusion.promote_exact(scored, named(signals))
+    scored = cut(fusion.promote_exact(scored, named(signals)))
+    # a vote or a promotion; without either the score is 0
+    counted = (F.col("votes") > 0) | (F.col("score") > 0)
+    outside = scored.filter(~counted).withColumns({"selected": F.lit(False), "drop_reason": F.lit("OUTSIDE_LANE")})
+    scored = scored.filter(counted)
     if rerank_scores is not None:
         scored = fusion.rerank(scored, rerank_scores, top_n)
-    return fusion.select_hits(scored, limit)
+    return fusion.select_hits(scored, limit).unionByName(outside, allowMissingColumns=True)

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from mnemolake.plans import corrections
+from mnemolake.plans import corrections, recall
 from mnemolake.sources import sinks
 
 
@@ -50,3 +50,36 @@ def test_correction_reaches_the_ledger(spark):
     assert out["memories"].count() == 1
     assert {(r["derived_kind"], r["derived_id"]) for r in out["ledger"].collect()} == {("topic", "t9"), ("observer_note", "5")}
     assert [r["qa_id"] for r in out["unmapped"].collect()] == [20]
+
+
+def test_recall_drops_nothing_without_a_reason(spark):
+    def item(i, kind, text, far):
+        return (i, kind, text, [1.0, far] + [0.0] * 62, "2024-01-01 00:00:00")
+
+    # 60 plain matches each way; 90 is an exact match whose lexical score is that of the others or less
+    found = [item(i, "qa", "common words", 0.01 * i) for i in range(60)] + [item(90, "qa", "zebra", 2.0)]
+    found += [item(200 + i, "note", "other", 0.01 * i) for i in range(60)]
+    items = spark.createDataFrame(found, "id long, kind string, text string, vec array<double>, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    queries = spark.createDataFrame([(1, "common words zebra", [1.0] + [0.0] * 63)], "query_id long, text string, vec array<double>")
+    ledger = spark.createDataFrame([("note", f"note_{200 + i}") for i in range(5)], "derived_kind string, derived_id string")
+    got = {r["source_id"]: r for r in recall.recall(queries, items, ledger, F.lit("2024-02-01").cast("timestamp"), path_k=5).collect()}
+    # every match is there but the suppressed ones, whose places go to the next
+    assert set(got) == {f"{k}_{i}" for i, k, *_ in found} - {f"note_{200 + i}" for i in range(5)}
+    assert all(got[f"note_{205 + i}"]["votes"] == 1 for i in range(5))
+    outside = {s for s, r in got.items() if r["drop_reason"] == "OUTSIDE_LANE"}
+    assert {f"note_{i}" for i in range(210, 260)} <= outside and not any(got[s]["selected"] or got[s]["position"] for s in outside)
+    ranked = sorted(r["position"] for s, r in got.items() if s not in outside)
+    assert ranked == list(range(1, len(ranked) + 1))
+    assert got["qa_90"]["boosted"] == 1 and got["qa_90"]["selected"]
+
+
+def test_recall_promotes_an_exact_match_behind_the_lane(spark):
+    # every text has a rare word of its own, so all lexical scores are equal and the id decides the lane's place
+    found = [(i, "qa", f"word{i}", [0.0, 1.0] + [0.0] * 62, "2024-01-01 00:00:00") for i in range(1, 5)]
+    items = spark.createDataFrame(found, "id long, kind string, text string, vec array<double>, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    queries = spark.createDataFrame([(1, "word1 word2 word3 word4", [1.0] + [0.0] * 63)], "query_id long, text string, vec array<double>")
+    ledger = spark.createDataFrame([("qa", "qa_1"), ("qa", "qa_2")], "derived_kind string, derived_id string")
+    got = {r["source_id"]: r for r in recall.recall(queries, items, ledger, F.lit("2024-02-01").cast("timestamp"), path_k=1).collect()}
+    assert set(got) == {"qa_3", "qa_4"}
+    assert got["qa_3"]["votes"] == 2 and got["qa_4"]["votes"] == 0
+    assert got["qa_4"]["boosted"] == 1 and got["qa_4"]["selected"] and got["qa_4"]["drop_reason"] is None
