@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from mnemolake.llm.tables import keep_only, table
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: A longer run of letters, as in scripts without spaces, becomes several words of the chain.
+WORD_CHARS = 24
+WORD = re.compile(r"[^\W\d_]{1,%d}" % WORD_CHARS)
 DOCS_PER_LANG = 400
 WORDS_PER_DOC = 200
 SAMPLE_CHARS = 4000
@@ -53,7 +55,7 @@ def words_of(text: str) -> list[str]:
 
 def feature_ids(word: str, lexicon: dict[str, int], bits: int = FEATURE_BITS) -> list[int]:
     """Hashed features: word end and start pieces, inner n-grams, and the lexicons that hold the word."""
-    bound = f"<{word[:24]}>"
+    bound = f"<{word}>"
     found = {f"p{bound[:n]}" for n in (2, 3, 4)} | {f"s{bound[-n:]}" for n in (2, 3, 4)}
     found |= {bound[i : i + n] for n in (1, 2, 3) for i in range(len(bound) - n + 1)}
     mask = (1 << bits) - 1

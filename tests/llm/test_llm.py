@@ -541,6 +541,17 @@ def test_language_id_on_held_out_documents_and_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.identify(held.limit(3), None).collect()} == {"und"}
 
 
+def test_long_runs_of_letters_are_read_to_the_end(spark):
+    assert langid.words_of("a" * 50 + " b") == ["a" * 24, "a" * 24, "aa", "b"]
+    rng = random.Random(13)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    letters = {"aa": "abcdefgh", "zz": "stuvwxyz"}
+    found = [(k, " ".join(word(letters[lang], rng.randint(2, 24)) for _ in range(40)), lang) for k, lang in enumerate(["aa", "zz"] * 20)]
+    model = langid.learn(spark.createDataFrame(found, "doc_id long, text string, lang string"))
+    text = word(letters["aa"], 24) + word(letters["zz"], 400)
+    assert [lang for lang, _ in langid.predict_texts(model, [text])] == ["zz"]
+
+
 def test_words_of_two_languages_are_labelled_apart(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(docs.select("doc_id", "text", "lang").filter(~langid.held_out()))
