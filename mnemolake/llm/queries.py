@@ -19,6 +19,7 @@ MODULES = {
     "op8_repeated_passages": "linechunks",
     "op9_language_id": "langid",
     "op10_packing": "packing",
+    "op11_vector_codes": "vector_codes",
 }
 #: Twins that are not called ORACLE_SQL, where a module has two queries.
 TWINS = {"op8_repeated_passages": "PASSAGES_SQL"}
