@@ -20,6 +20,7 @@ MODULES = {
     "op9_language_id": "langid",
     "op10_packing": "packing",
     "op11_vector_codes": "vector_codes",
+    "op12_decontamination": "decontamination",
 }
 #: Twins that are not called ORACLE_SQL, where a module has two queries.
 TWINS = {"op8_repeated_passages": "PASSAGES_SQL"}
