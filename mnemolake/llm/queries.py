@@ -21,6 +21,7 @@ MODULES = {
     "op10_packing": "packing",
     "op11_vector_codes": "vector_codes",
     "op12_decontamination": "decontamination",
+    "op13_importance_resampling": "importance",
 }
 #: Twins that are not called ORACLE_SQL, where a module has two queries.
 TWINS = {"op8_repeated_passages": "PASSAGES_SQL"}
