@@ -16,7 +16,7 @@ HEADLINE = (
     "near_duplicate_components", "topic_assignment", "rank_fusion", "selection_trace", "context_packing", "token_spans",
     "overlapping_windows", "budget_batches", "health_diagnosis", "distinct_facts", "related_topics", "version_chains",
     "as_of_recorded", "range_containment", "invalidation_ledger", "category_metrics", "topic_keyword_scores",
-    "contaminated_pairs", "mutual_knn_components", "recall_trace",
+    "contaminated_pairs", "mutual_knn_components", "density_clusters", "recall_trace",
 )
 #: Runs first and is not timed, so that no headline query is charged for the start.
 WARM_UP = "host_event_kinds"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.catalog.base import Registry
 from mnemolake.functions import vec as V
-from mnemolake.operators import clusters, fusion, topics, vectors
+from mnemolake.operators import clusters, density, fusion, topics, vectors
 
 reg = Registry()
 
@@ -148,6 +148,31 @@ def threshold_groups(t):
     return clusters.threshold_groups(vectors_in(t).select("id", "vec"), 0.3)
 
 
+# Prim's rule over the rows of a distance matrix, then all edges in order with the state of every group in lists
+DENSITY_SQL = f"""WITH RECURSIVE {EV_SQL}, rk AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(id)) AS r, min(id) AS id, vec, count(*) AS n FROM ev GROUP BY vec),
+mx AS MATERIALIZED (SELECT a.r, list(round(list_distance(a.vec, b.vec), 6) ORDER BY b.r) AS ws FROM rk a, rk b GROUP BY a.r),
+pr(step, best, e) AS (SELECT 1, list_transform(ws, lambda w, u: CASE WHEN u = 1 THEN {{'w': 1e300::DOUBLE, 'i': 0::BIGINT, 'j': 0::BIGINT}} ELSE {{'w': w, 'i': 1::BIGINT, 'j': u}} END), NULL::STRUCT(w DOUBLE, i BIGINT, j BIGINT) FROM mx WHERE r = 1
+ UNION ALL SELECT step + 1, list_transform(best, lambda x, u: CASE WHEN x.i = 0 OR u = v THEN {{'w': 1e300::DOUBLE, 'i': 0::BIGINT, 'j': 0::BIGINT}} WHEN (ws[u], least(u, v), greatest(u, v)) < (x.w, x.i, x.j) THEN {{'w': ws[u], 'i': least(u, v), 'j': greatest(u, v)}} ELSE x END), m
+ FROM (SELECT step, best, m, CASE WHEN best[m.i].i = 0 THEN m.j ELSE m.i END AS v FROM (SELECT step, best, list_min(best) AS m FROM pr) WHERE m.w < 1e300) t JOIN mx ON mx.r = t.v),
+te AS MATERIALIZED (SELECT row_number() OVER (ORDER BY e.w, e.i, e.j) AS k, 1 / greatest(e.w, 1e-6) AS lam, e.i AS i, e.j AS j FROM pr WHERE e IS NOT NULL),
+kr(k, l, s, c, m, b, v, closed) AS (SELECT 0::BIGINT, list(r ORDER BY r), list(n ORDER BY r), list(CASE WHEN n >= 3 THEN 'r' || r END ORDER BY r), list(CASE WHEN n >= 3 THEN n / 1e-6 ELSE 0 END ORDER BY r), list(0::DOUBLE ORDER BY r), list(CASE WHEN n >= 3 THEN 'r' || r END ORDER BY r), NULL::STRUCT(c VARCHAR, p VARCHAR, wins BOOLEAN)[] FROM rk
+ UNION ALL SELECT k, list_transform(l, lambda q: CASE WHEN q = y THEN x ELSE q END), list_transform(s, lambda q, p: CASE WHEN p = x THEN s[x] + s[y] ELSE q END), list_transform(c, lambda q, p: CASE WHEN p = x THEN nc ELSE q END),
+  list_transform(m, lambda q, p: CASE WHEN p <> x THEN q WHEN both_big OR (c[x] IS NULL AND c[y] IS NULL AND nc IS NOT NULL) THEN lam * (s[x] + s[y]) WHEN c[x] IS NOT NULL THEN m[x] + lam * s[y] WHEN c[y] IS NOT NULL THEN m[y] + lam * s[x] ELSE 0 END),
+  list_transform(b, lambda q, p: CASE WHEN p <> x THEN q WHEN both_big THEN greatest(m[x] - lam * s[x], b[x]) + greatest(m[y] - lam * s[y], b[y]) WHEN c[x] IS NOT NULL THEN b[x] WHEN c[y] IS NOT NULL THEN b[y] ELSE 0 END),
+  list_transform(v, lambda q, p: CASE WHEN q IS NULL AND (l[p] = x OR l[p] = y) THEN nc ELSE q END),
+  CASE WHEN both_big THEN [{{'c': c[x], 'p': nc, 'wins': m[x] - lam * s[x] >= b[x]}}, {{'c': c[y], 'p': nc, 'wins': m[y] - lam * s[y] >= b[y]}}] END
+ FROM (SELECT *, CASE WHEN both_big OR (c[x] IS NULL AND c[y] IS NULL AND s[x] + s[y] >= 3) THEN 'e' || k ELSE coalesce(c[x], c[y]) END AS nc FROM (SELECT te.k, lam, l, s, c, m, b, v, l[i] AS x, l[j] AS y, c[l[i]] IS NOT NULL AND c[l[j]] IS NOT NULL AS both_big FROM kr JOIN te ON te.k = kr.k + 1))),
+cl AS MATERIALIZED (SELECT unnest(closed, recursive := true) FROM kr WHERE closed IS NOT NULL), fin AS MATERIALIZED (SELECT v, c[l[1]] AS root FROM kr ORDER BY k DESC LIMIT 1),
+tp(c, top) AS (SELECT root, NULL::VARCHAR FROM fin UNION ALL SELECT cl.c, coalesce(tp.top, CASE WHEN wins THEN cl.c END) FROM tp JOIN cl ON cl.p = tp.c),
+lb AS (SELECT ev.id, tp.top FROM ev JOIN rk USING (vec) CROSS JOIN fin LEFT JOIN tp ON tp.c = fin.v[rk.r])
+SELECT id, CASE WHEN top IS NOT NULL THEN min(id) OVER (PARTITION BY top) END AS cluster, CASE WHEN top IS NOT NULL THEN count(*) OVER (PARTITION BY top) END AS size FROM lb"""
+
+
+@reg.query("C6", DENSITY_SQL)
+def density_clusters(t):
+    return density.density_clusters(vectors_in(t).select("id", "vec"), 3)
+
+
 @reg.query("C6")
 def mutual_knn_components(t):
     return clusters.mutual_knn_components(vectors_in(t).select("id", "vec"), 5, 0.25)

@@ -2,9 +2,9 @@
 
 Exact search multiplies bounded blocks of vectors inside tasks (Arrow + NumPy)
 and keeps only the rows that pass the floor and the local top-k. Similarity
-self-joins first collapse exact copies, then keep pairs whose projections on a
-few fixed orthonormal axes are close: for unit vectors ``|p.a - p.b| <= |a - b|``,
-so no qualifying pair is lost. Crowded cells are cut into blocks.
+self-joins first collapse exact copies, then deal rows to metric balls (``metric``)
+and let a row visit the cells within the radius, so no qualifying pair is lost.
+Crowded cells are cut into blocks.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemolake.functions import vec as V
+from mnemolake.operators import metric
+from mnemolake.session import cut
 
 BLOCK_BYTES = 32 << 20
 PAIR_BLOCK_ROWS = 2048
 QUERY_BLOCK_ROWS = 1024
-AXES = 3
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -113,11 +114,6 @@ def top_k_cosine(
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def _axes(dims: int, count: int) -> np.ndarray:
-    q, _ = np.linalg.qr(np.random.default_rng(7).standard_normal((dims, count)))
-    return q.T
-
-
 def collapse_copies(items: DataFrame, id_col: str = "id", vec_col: str = "vec") -> tuple[DataFrame, DataFrame]:
     """(representatives with a copy count, id -> representative)."""
     reps = items.groupBy(vec_col).agg(F.min(id_col).alias("rep"), F.count("*").alias("copies"))
@@ -126,49 +122,43 @@ def collapse_copies(items: DataFrame, id_col: str = "id", vec_col: str = "vec")
 
 
 def _grid(base: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides for a threshold that no projection prunes: every block meets every block."""
-    mine = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
-    left = base.select(F.lit(0).alias("_cell"), "_id", "_u", mine.alias("_l"), _all_blocks(blocks).alias("_r"))
-    right = base.select(
-        F.lit(0).alias("_cell2"), F.col("_id").alias("_jd"), F.col("_u").alias("_w"), _all_blocks(blocks).alias("_l2"), mine.alias("_r2")
-    )
+    """Both sides where no ball prunes: every block meets itself and the blocks behind it."""
+    mine = metric.block_of("_id", F.lit(blocks))
+    left = base.select(F.lit(0).alias("_cell"), "_id", "_u", mine.alias("_l")).withColumn("_r", F.explode(F.sequence(F.col("_l"), F.lit(blocks - 1))))
+    right = base.select(F.lit(0).alias("_cell2"), F.col("_id").alias("_jd"), F.col("_u").alias("_w"), mine.alias("_r2")).withColumn(
+        "_l2", F.explode(F.sequence(F.lit(0), F.col("_r2")))
+    ).withColumn("_other", F.col("_l2") != F.col("_r2"))
     return left, right
 
 
-def _cells(base: DataFrame, count: int, radius: float, dims: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides for a prunable threshold: rows in their cell, and in all neighbour cells
-    where someone lives; crowded cells are cut into blocks."""
-    coords = [
-        F.floor(V.dot(F.col("_u"), F.array(*[F.lit(float(x)) for x in axis])) / F.lit(radius)).cast("int")
-        for axis in _axes(dims, count)
-    ]
-    home = base.withColumn("_cell", F.array(*coords))
-    near = home
-    for d in range(count):
-        step = F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)]))
-        near = near.withColumn("_o", step).withColumn(
-            "_cell",
-            F.transform("_cell", lambda v, i: F.when(i == d, v + F.col("_o")).otherwise(v)),
-        )
-    near = near.drop("_o")
-    crowd = home.groupBy("_cell").agg(F.count("*").alias("_n"))
-    visit = near.groupBy("_cell").agg(F.count("*").alias("_m")).join(crowd, "_cell").select(
-        "_cell",
-        F.ceil(F.col("_n") / PAIR_BLOCK_ROWS).cast("int").alias("_lb"),
-        F.ceil(F.col("_m") / PAIR_BLOCK_ROWS).cast("int").alias("_rb"),
-    )
-    left = home.join(visit, "_cell").select(
-        "_cell", "_id", "_u", F.pmod(F.xxhash64("_id"), F.col("_lb")).cast("int").alias("_l"),
-        F.explode(F.sequence(F.lit(0), F.col("_rb") - 1)).alias("_r"),
-    )
-    right = near.join(visit, "_cell").select(
-        F.col("_cell").alias("_cell2"), F.col("_id").alias("_jd"), F.col("_u").alias("_w"),
-        F.pmod(F.xxhash64("_id"), F.col("_rb")).cast("int").alias("_r2"),
-        F.explode(F.sequence(F.lit(0), F.col("_lb") - 1)).alias("_l2"),
-    )
+def _balls(visiting: DataFrame, cells: metric.Cells, guests: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Both sides by cell: own rows meet own rows and the guests of the cell, block by block."""
+    own, others = cells.blocks(), np.maximum(1, -(-guests // PAIR_BLOCK_ROWS))
+    own_of, others_of = (lambda c: metric.per_cell(own, c)), (lambda c: metric.per_cell(others, c))
+    home = visiting.select(F.col("cell").alias("_cell"), F.col("id").alias("_id"), F.col("vec").alias("_u"), F.col("block").alias("_l"))
+    # blocks of a cell's guests are numbered behind those of its own rows
+    left = home.withColumn("_r", F.explode(F.sequence(F.lit(0), own_of(F.col("_cell")) + others_of(F.col("_cell")) - 1)))
+    guest = visiting.select(F.explode("to").alias("_cell2"), F.col("id").alias("_jd"), F.col("vec").alias("_w")).withColumn(
+        "_r2", own_of(F.col("_cell2")) + metric.block_of("_jd", others_of(F.col("_cell2")))
+    ).withColumn("_other", F.lit(True))
+    same = home.select(F.col("_cell").alias("_cell2"), F.col("_id").alias("_jd"), F.col("_u").alias("_w"), F.col("_l").alias("_r2"), F.lit(False).alias("_other"))
+    right = same.unionByName(guest).withColumn("_l2", F.explode(F.sequence(F.lit(0), own_of(F.col("_cell2")) - 1)))
     return left, right
 
 
+def pair_work(base: DataFrame, radius: float) -> tuple[DataFrame | None, metric.Cells | None, np.ndarray, int]:
+    """Rows with the cells they visit within ``radius``, the cells, their guests, and how many pairs the cells compare at most."""
+    dealt, cells = metric.deal(base)
+    if cells is None:
+        return None, None, np.zeros(0, np.int64), 0
+    number = np.arange(len(cells))
+    visiting = cut(metric.visits(dealt, cells, lambda least, home: (least <= radius) & (number[None, :] < home[:, None])))
+    guests = np.zeros(len(cells), np.int64)
+    for r in visiting.select(F.explode("to").alias("c")).groupBy("c").count().collect():  # a row per cell
+        guests[r["c"]] = r["count"]
+    return visiting, cells, guests, int((cells.counts * (cells.counts + 1) // 2 + cells.counts * guests).sum())
+
+
 def similar_pairs(
     items: DataFrame, threshold: float, strict: bool = False, id_col: str = "id", vec_col: str = "vec", dims: int = 64
 ) -> DataFrame:
@@ -176,26 +166,46 @@ def similar_pairs(
 
     Exact. ``items`` must hold distinct vectors (see ``collapse_copies``);
     with copies the result is still right but the output is as large as it says.
+    Rows are dealt to metric balls and visit the cells within the radius; where the balls would compare
+    as much as all blocks of rows do (a radius that reaches everyone), blocks meet blocks instead. The
+    bound inside a cell or block leaves out tiles either way.
     """
     # cosines are compared after rounding to six digits, so the radius covers that step
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * (threshold - 1e-6))) + 1e-9
-    count = AXES if radius < 0.8 else 0
-    base = items.select(F.col(id_col).alias("_id"), V.unit(F.col(vec_col)).alias("_u"))
-    left, right = _cells(base, count, radius, dims) if count else _grid(base, max(1, math.ceil(items.count() / PAIR_BLOCK_ROWS)))
+    # rows without a direction have no pair
+    size = V.norm(F.col(vec_col))
+    base = items.filter((size > 0) & (size < float("inf"))).select(F.col(id_col).alias("id"), V.unit(F.col(vec_col)).alias("vec"))
+    visiting, cells, guests, work = pair_work(base, radius)
+    n = int(cells.counts.sum()) if cells is not None else 0
+    blocks = max(1, math.ceil(n / PAIR_BLOCK_ROWS))
+    if cells is None or work >= n * (n + 1) // 4 or int(guests.sum()) > n * blocks:
+        left, right = _grid(base.select(F.col("id").alias("_id"), F.col("vec").alias("_u")), blocks)
+    else:
+        left, right = _balls(visiting, cells, guests)
     id_type = items.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("i", id_type), T.StructField("j", id_type), T.StructField("cosine", T.DoubleType()),
     ])
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
+        out_i, out_j, out_c = [], [], []
+        if len(a) and len(b):
+            u, w = _matrix(a["_u"]), _matrix(b["_w"])
+            ia, ib, other = a["_id"].to_numpy(), b["_jd"].to_numpy(), b["_other"].to_numpy(dtype=bool)
+            for p, q in metric.close_tiles(u, w, radius):
+                sims = np.round(u[p] @ w[q].T, 6)
+                keep = (sims > threshold) if strict else (sims >= threshold)
+                # a pair of one block is met from both ends, a pair with a guest once
+                keep &= other[q][None, :] | (ia[p][:, None] < ib[q][None, :])
+                r, c = np.nonzero(keep)
+                x, y = ia[p][r], ib[q][c]
+                swap = x > y
+                out_i.append(np.where(swap, y, x))
+                out_j.append(np.where(swap, x, y))
+                out_c.append(sims[r, c])
+        if not out_i:
             return pd.DataFrame({"i": [], "j": [], "cosine": []})
-        sims = np.round(_matrix(a["_u"]) @ _matrix(b["_w"]).T, 6)
-        ia, ib = a["_id"].to_numpy(), b["_jd"].to_numpy()
-        keep = (sims > threshold) if strict else (sims >= threshold)
-        keep &= ia[:, None] < ib[None, :]
-        r, c = np.nonzero(keep)
-        return pd.DataFrame({"i": ia[r], "j": ib[c], "cosine": sims[r, c]})
+        return pd.DataFrame({"i": np.concatenate(out_i), "j": np.concatenate(out_j), "cosine": np.concatenate(out_c)})
 
     return (
         left.groupBy("_cell", "_l", "_r")
