@@ -8,6 +8,7 @@ from mnemolake import rules as R
 from mnemolake.catalog.base import Registry, planted, planted_sql, q
 from mnemolake.functions import text as T
 from mnemolake.operators import lexical, topics
+from mnemolake.session import cut
 
 reg = Registry()
 
@@ -32,7 +33,7 @@ def corpus(t):
 def _matched(t):
     terms = lexical.query_terms(bench_queries(t))
     docs = corpus(t)
-    return terms, docs, lexical.term_matches(terms, docs, "id", [F.col("text")], words_only=True)
+    return terms, docs, cut(lexical.term_matches(terms, docs, "id", [F.col("text")], words_only=True))
 
 
 @reg.query("F1", f"WITH {QS_SQL} SELECT query_id, CAST(ord AS INTEGER) AS ord, term FROM tm")

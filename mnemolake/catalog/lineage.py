@@ -170,7 +170,7 @@ def _ranges(t):
 @reg.query("J18", f"WITH {RANGE_SQL} SELECT note_id, qa_id FROM rg JOIN pt ON qa_id >= lo AND qa_id < hi")
 def range_containment(t):
     rg, pt = _ranges(t)
-    return lineage.contained_in_ranges(pt, rg, "qa_id", "lo", "hi", bucket=64).select("note_id", "qa_id")
+    return lineage.contained_in_ranges(pt, rg, "qa_id", "lo", "hi").select("note_id", "qa_id")
 
 
 AFFECT_SQL = f"""{RANGE_SQL}, cr AS (SELECT 'cor_' || (l_orderkey % 40) AS correction_id, l_orderkey AS qa_id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0),

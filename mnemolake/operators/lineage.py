@@ -9,42 +9,48 @@ from pyspark.sql import functions as F
 from mnemolake.functions import ident as I
 from mnemolake.functions.clean import let, strip
 from mnemolake.operators import ordered
+from mnemolake.session import cut
 
-RANGE_BUCKET = 1024
+#: Points of one stretch of the number line, while there are no more stretches than ``MOST_STRETCHES``.
+STRETCH_POINTS = 1024
+MOST_STRETCHES = 8192
+#: Points of one stretch that a task should take; more (one number held by very many rows) are spread.
+SALT_POINTS = 262_144
 
 
-def contained_in_ranges(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str, closed_hi: bool = False, bucket: int = RANGE_BUCKET) -> DataFrame:
-    """Points inside [lo, hi) (or [lo, hi]) as an equi-join on number buckets.
+def contained_in_ranges(
+    points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str, closed_hi: bool = False, bucket: int = STRETCH_POINTS
+) -> DataFrame:
+    """Points inside [lo, hi) (or [lo, hi]), of any width, as an equi-join on stretches of the number line.
 
-    A range wider than many buckets is cut at power-of-two levels instead of
-    being listed bucket by bucket: each level holds at most two edge buckets, so
-    a range of any width sends O(log width) rows, and a point one row per level
-    that some range uses (at most 64 numbers come to the driver).
+    Boundaries are quantiles of the points, so every stretch holds about ``bucket`` points (at most ``MOST_STRETCHES``
+    numbers come to the driver). A point lies in one stretch; a range goes to each stretch
+    that it touches, where all but its two ends match every point there. Rows with a null number match nothing.
     """
-    last = F.col(hi) if closed_hi else F.col(hi) - 1
-    r = ranges.filter(F.col(lo) <= last).withColumns({
-        "_b0": F.floor(F.col(lo) / bucket).cast("long"), "_b1": F.floor(last / bucket).cast("long"),
-    })
-    shift = lambda x, level: F.call_function("shiftright", x, level.cast("int"))
-    # dyadic cover of [_b0, _b1]: at level L the left edge is odd or the right edge even
-
-    def edges(level: Column) -> Column:
-        first = shift(F.col("_b0") - 1, level) + 1
-        end = shift(F.col("_b1") + 1, level)  # exclusive
-        cell = lambda k: F.struct(level.cast("int").alias("_l"), k.alias("_k"))
-        return F.array(
-            cell(F.when((first < end) & (first % 2 != 0), first)), cell(F.when((first < end) & (end % 2 != 0), end - 1))
-        )
+    from pyspark.ml.feature import Bucketizer
 
-    cover = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), edges)))
-    r = r.withColumn("_c", F.explode(F.filter(cover, lambda c: c["_k"].isNotNull())))
-    r = r.select("*", F.col("_c._l").alias("_l"), F.col("_c._k").alias("_k")).drop("_c", "_b0", "_b1")
-    used = sorted(x["_l"] for x in r.select("_l").distinct().collect())
-    home = F.floor(F.col(point) / bucket).cast("long")
-    levels = F.array(*[F.lit(lv) for lv in used]) if used else F.array().cast("array<int>")
-    p = points.withColumn("_l", F.explode(levels)).withColumn("_k", shift(home, F.col("_l")))
+    last = F.col(hi) if closed_hi else F.col(hi) - 1
+    p = points.filter(F.col(point).isNotNull()).withColumn("_x", F.col(point).cast("double"))
+    r = ranges.filter(F.col(lo) <= last).withColumns({"_x": F.col(lo).cast("double"), "_y": last.cast("double")})
+    n = max(1, min(MOST_STRETCHES, p.count() // bucket))
+    inner = sorted(set(p.approxQuantile("_x", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    splits = [-float("inf"), *inner, float("inf")]
+    if len(splits) < 3:
+        splits.insert(1, 0.0)
+    place = lambda df, x, out: Bucketizer(splits=splits, inputCol=x, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int")).drop(x)
+    p = place(p, "_x", "_s")
+    r = place(place(r, "_x", "_a"), "_y", "_b").withColumn("_s", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
+    # at most one row per stretch, and none unless some number is held by very many rows
+    crowded = cut(p.groupBy("_s").agg(F.ceil(F.count("*") / SALT_POINTS).cast("int").alias("_k")).filter("_k > 1"))
+    if crowded.limit(1).count():
+        few, k = F.broadcast(crowded), F.coalesce("_k", F.lit(1))
+        # numbered once and written, so that a task that runs again deals its rows alike
+        p = cut(p).join(few, "_s", "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), k).cast("int")).drop("_k")
+        r = r.join(few, "_s", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), k - 1))).drop("_k")
+    else:
+        p, r = p.withColumn("_salt", F.lit(0)), r.withColumn("_salt", F.lit(0))
     inside = (F.col(point) >= F.col(lo)) & (F.col(point) <= last)
-    return p.join(r, ["_l", "_k"]).filter(inside).drop("_l", "_k")
+    return p.join(r, ["_s", "_salt"]).filter(inside).drop("_s", "_salt")
 
 
 def _literal_id(c: Column) -> Column:
