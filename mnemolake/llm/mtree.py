@@ -11,11 +11,12 @@ scores of the sample and is sent only to the parts that the triangle inequality
 
 Inside a part: paged nodes with covering radii and distances to their parent. Best first, a node is opened
 while its lower bound can beat the k-th score; entries whose stored parent distance already excludes them
-cost no distance computation. Scores are exact integers; bounds get a margin against rounding, so results are exact.
+cost no distance computation. Scores are exact integers (products of doubles, of 64-bit or of Python integers, by the largest component); bounds get
+a margin against rounding, so results are exact. Scores that may not fit a long are decimals; the query gives null for one that no long holds.
 
 Parts and query blocks have bounded sizes whatever the data (equal rows split evenly).
 Defined cases: vectors that are null, of another length than most, hold null or non-finite components, or
-a component beyond 2**25 after scaling take no part (a long cannot hold their products); zero vectors do;
+a component beyond 2**57 after scaling take no part (no decimal holds their products); zero vectors do;
 ties go to the smaller id; rows with a query's own id are no candidates; repeated rows count each;
 an empty table gives no row; other columns are ignored.
 """
@@ -35,7 +36,9 @@ from mnemolake.llm.blocks import QUERIES_PER_BLOCK, ROWS_PER_BLOCK, best, finite
 from mnemolake.llm.tables import parts_for, table
 
 SCALE = 64
-LARGEST = 2**25
+LARGEST = 2**57
+#: Share of the squared lengths that rounding may add to a squared distance.
+SLACK = 1e-13
 PAGE = 512
 FANOUT = 16
 MOST_PIVOTS = 256
@@ -52,6 +55,26 @@ def _distances(x: np.ndarray, even: np.ndarray, center: np.ndarray, center_even:
     return np.sqrt((d * d).sum(axis=1) + (even - center_even) ** 2)
 
 
+def _reach(score: int, lengths: float) -> float:
+    """The distance at which a score lies; ``lengths`` is |query|^2 + longest^2."""
+    return float(np.sqrt(max(0.0, lengths - 2.0 * float(score)) + SLACK * lengths))
+
+
+def _products(x: np.ndarray, y: np.ndarray, size: float) -> np.ndarray:
+    """Exact inner products of integer rows held as doubles; ``size`` bounds them and their partial sums."""
+    if size < 2**53:
+        return x @ y
+    if size < 2**62:
+        return x.astype(np.int64) @ y.astype(np.int64)
+    return x.astype(np.int64).astype(object) @ y.astype(np.int64).astype(object)
+
+
+def _best_first(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+    return np.lexsort((ids, -scores))[:k]
+
+
 class Node:
     """A page: either rows (``at`` is the place of the first, they lie together) or routing entries; each entry has its distance to the page's own center."""
 
@@ -62,14 +85,13 @@ class Node:
 
 
 class MTree:
-    """M-tree over integer rows ``x`` (held as doubles) with ids."""
+    """M-tree over integer rows ``x`` (held as doubles) with ids; ``size`` bounds the inner products with queries."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, longest2: float, page: int = PAGE, fanout: int = FANOUT):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, longest2: float, page: int = PAGE, fanout: int = FANOUT, size: float | None = None):
         self.ids, self.x, self.longest2 = ids, x, longest2
         self.even = _even(x, longest2)
         self.page, self.fanout = page, fanout
-        # products below 2**53 are exact in doubles in any order
-        self.exact = float(np.abs(x).max(initial=0)) ** 2 * x.shape[1] < 2**53
+        self.size = float(np.abs(x).max(initial=0)) ** 2 * x.shape[1] if size is None else size
         self.computed = 0
         middle = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
         self.center, self.center_even = middle, float(self.even.mean()) if len(x) else 0.0
@@ -108,18 +130,17 @@ class MTree:
 
     def scores(self, begin: int, end: int, query: np.ndarray) -> np.ndarray:
         self.computed += end - begin
-        if self.exact:
-            return self.x[begin:end] @ query
-        return self.x[begin:end].astype(np.int64) @ query.astype(np.int64)
+        return _products(self.x[begin:end], query, self.size)
 
     def top(self, query_id: int, query: np.ndarray, k: int, bound: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows (those below ``bound`` may be missing), best first."""
-        size = float((query * query).sum())
-        reach = lambda s: np.sqrt(max(0.0, size + self.longest2 - 2.0 * s))
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        least = -(2**63) if bound is None else bound
-        limit = np.inf if bound is None else reach(bound)
-        margin = 1e-9 * (1 + np.sqrt(size + self.longest2))
+        lengths = float((query * query).sum()) + self.longest2
+        whole = object if self.size >= 2**62 else np.int64
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, whole)
+        least = -(10**38) if whole is object else -(2**63)
+        least = least if bound is None else bound
+        limit = np.inf if bound is None else _reach(bound, lengths)
+        margin = 1e-9 * (1 + np.sqrt(lengths))
         first = float(_distances(query[None], np.zeros(1), self.center, self.center_even)[0])
         tick = count()
         heap = [(max(0.0, first - self.radius), next(tick), self.root, first)]
@@ -138,12 +159,12 @@ class MTree:
                     continue
                 at = good + (node.at + a)
                 keep = self.ids[at] != query_id
-                ids, scores = np.concatenate([ids, self.ids[at[keep]]]), np.concatenate([scores, found[good[keep]].astype(np.int64)])
-                order = np.lexsort((ids, -scores))[:k]
+                ids, scores = np.concatenate([ids, self.ids[at[keep]]]), np.concatenate([scores, found[good[keep]].astype(whole)])
+                order = _best_first(ids, scores, k)
                 ids, scores = ids[order], scores[order]
                 if len(scores) == k and scores[-1] > least:
                     least = int(scores[-1])
-                    limit = min(limit, reach(least))
+                    limit = min(limit, _reach(least, lengths))
             else:
                 open_ = np.flatnonzero(np.abs(node.apart - here) - node.radii <= limit + margin)
                 far = _distances(node.centers[open_], node.evens[open_], query, 0.0)
@@ -157,7 +178,9 @@ class MTree:
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(id, vec) with floor(scale * x), as doubles that hold integers exactly."""
-    whole = vectors.withColumn("vec", F.transform("vec", lambda x: F.floor(F.least(F.greatest(x * scale, F.lit(-1e9)), F.lit(1e9))).cast("double")))
+    # from 2**53 on doubles are integers
+    floor = lambda x: F.when(F.abs(x) < 2**53, F.floor(x).cast("double")).otherwise(x)
+    whole = vectors.withColumn("vec", F.transform("vec", lambda x: floor(x * scale)))
     return whole.filter(F.forall("vec", lambda x: F.abs(x) <= LARGEST))
 
 
@@ -166,11 +189,14 @@ def top_scores(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
     dims = usual_dims(vectors)
     rows, asked = (df.filter(F.size("vec") == dims) for df in (vectors, queries))
     length2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    stats = rows.agg(F.count("*").alias("n"), F.max(length2).alias("longest2")).first()
-    n_queries = asked.count()
+    most = F.max(F.array_max(F.transform("vec", lambda x: F.abs(x)))).alias("most")
+    stats, asked_stats = rows.agg(F.count("*").alias("n"), F.max(length2).alias("longest2"), most).first(), asked.agg(F.count("*").alias("n"), most).first()
+    n_queries = asked_stats["n"]
     if not stats["n"] or not n_queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n, longest2 = stats["n"], stats["longest2"]
+    size = float(dims * stats["most"] * asked_stats["most"])
+    score_type, score_name = (pa.decimal128(38, 0), "decimal(38,0)") if size >= 2**62 else (pa.int64(), "long")
     share = min(1 << 30, (1 << 30) * 2 * SAMPLE_ROWS // n)
     drawn = rows.filter(F.pmod(F.xxhash64(F.lit(4), "id", "vec"), F.lit(1 << 30)) < share).limit(SAMPLE_ROWS).collect() or rows.limit(SAMPLE_ROWS).collect()
     drawn = sorted((r["id"], tuple(r["vec"])) for r in drawn)
@@ -205,21 +231,21 @@ def top_scores(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
         for batch in batches:
             ids, q = batch.column(0).to_pylist(), matrix(batch.column(1), dims)
             far = to_pivots(q, np.zeros(len(q)))
-            scores = q @ sample.T
+            scores = _products(q, sample.T, size)
             out: list[tuple] = []
             for i, query_id in enumerate(ids):
                 own = scores[i][sample_ids != query_id]
                 bound = int(np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else None
-                size = float((q[i] * q[i]).sum())
-                limit = np.inf if bound is None else np.sqrt(max(0.0, size + longest2 - 2.0 * bound))
-                margin = 1e-9 * (1 + np.sqrt(size + longest2))
+                lengths = float((q[i] * q[i]).sum()) + longest2
+                limit = np.inf if bound is None else _reach(bound, lengths)
+                margin = 1e-9 * (1 + np.sqrt(lengths))
                 for p in np.flatnonzero(far[i] - radii <= limit + margin).tolist():
                     out += [(i, part, bound) for part in range(int(first_part[p]), int(first_part[p + 1]))]
             at, part, bound = zip(*out) if out else ((), (), ())
             picked = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(part, pa.int64()), pa.array(bound, pa.int64())], names=["id", "vec", "part", "bound"])
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(part, pa.int64()), pa.array(bound, score_type)], names=["id", "vec", "part", "bound"])
 
-    asked_of = asked.select("id", "vec").mapInArrow(route, "id long, vec array<double>, part long, bound long").select(
+    asked_of = asked.select("id", "vec").mapInArrow(route, f"id long, vec array<double>, part long, bound {score_name}").select(
         "id", "vec", "bound", (F.col("part") * n_query + F.pmod(F.xxhash64("id", "vec"), F.lit(n_query))).alias("cell")
     )
     starts, wide = (F.array(*[F.lit(int(v)) for v in values]) for values in (first_part[:-1], splits))
@@ -231,22 +257,23 @@ def top_scores(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
     def search(key: tuple, block: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
         if block.num_rows and queries.num_rows:
-            tree = MTree(block.column("id").to_numpy(), matrix(block.column("vec"), dims), longest2)
+            tree = MTree(block.column("id").to_numpy(), matrix(block.column("vec"), dims), longest2, size=size)
             q = matrix(queries.column("vec"), dims)
             for query_id, vec, bound in zip(queries.column("id").to_pylist(), q, queries.column("bound").to_pylist()):
-                ids, scores = tree.top(query_id, vec, k, bound)
+                ids, scores = tree.top(query_id, vec, k, None if bound is None else int(bound))
                 found += [(query_id, v, s) for v, s in zip(ids.tolist(), scores.tolist())]
         a, b, c = zip(*found) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
+        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, score_type)})
 
-    hits = placed.groupBy("cell").cogroup(asked_of.groupBy("cell")).applyInArrow(search, "query_id long, vec_id long, score long")
+    hits = placed.groupBy("cell").cogroup(asked_of.groupBy("cell")).applyInArrow(search, f"query_id long, vec_id long, score {score_name}")
     return best(hits, k)
 
 
 def op4_mtree_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer scores for every vector whose id is divisible by 20, among all vectors."""
     vectors = integer_vectors(finite_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
-    return top_scores(vectors, vectors.filter(is_query()))
+    found = top_scores(vectors, vectors.filter(is_query()))
+    return found.withColumn("score", F.col("score").try_cast("long"))
 
 
 # the table's vectors have one length and moderate components
