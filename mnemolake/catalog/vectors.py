@@ -143,7 +143,24 @@ def merge_plan(t):
     return clusters.merge_plan(clusters.pick_strongest(clusters.near_duplicate_components(v, 0.95), v))
 
 
-@reg.query("C5")
+def groups_sql(rows: str, floor: float) -> str:
+    """Each item of ``rows`` not yet taken, in id order, takes all later ones above the floor: a list of leaders, step by step."""
+    return f"""rk AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(id)) AS r, min(id) AS id, vec FROM {rows} GROUP BY vec),
+mx AS MATERIALIZED (SELECT a.r, list(round({COS.format(a='a.vec', b='b.vec')}, 6) ORDER BY b.r) AS ws FROM rk a, rk b GROUP BY a.r),
+gr(k, led) AS (SELECT 0::BIGINT, list(NULL::BIGINT ORDER BY r) FROM rk UNION ALL SELECT k + 1, CASE WHEN led[k + 1] IS NOT NULL THEN led ELSE list_transform(led, lambda q, u: CASE WHEN q IS NULL AND (u = k + 1 OR (u > k + 1 AND ws[u] > {floor})) THEN k + 1 ELSE q END) END FROM gr JOIN mx ON mx.r = k + 1),
+lg AS MATERIALIZED (SELECT x.id, ld.id AS leader FROM {rows} x JOIN rk USING (vec) CROSS JOIN (SELECT led FROM gr ORDER BY k DESC LIMIT 1) JOIN rk ld ON ld.r = led[rk.r])"""
+
+
+def seeds_sql(floor: float) -> str:
+    """Each item in id order with its first later partner at or above the floor, each item once."""
+    return f"""ie AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS r, id, vec FROM ev),
+mi AS MATERIALIZED (SELECT a.r, list(round({COS.format(a='a.vec', b='b.vec')}, 6) ORDER BY b.r) AS ws FROM ie a, ie b GROUP BY a.r),
+st(k, used, m) AS (SELECT 0::BIGINT, list(false ORDER BY r), NULL::BIGINT FROM ie UNION ALL SELECT k + 1, list_transform(used, lambda q, u: q OR (m2 IS NOT NULL AND (u = k + 1 OR u = m2))), m2
+ FROM (SELECT k, used, CASE WHEN NOT used[k + 1] THEN list_min(list_filter(list_transform(ws, lambda w, u: CASE WHEN u > k + 1 AND w >= {floor} AND NOT used[u] THEN u END), lambda x: x IS NOT NULL)) END AS m2 FROM st JOIN mi ON mi.r = k + 1)),
+sd AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM st JOIN ie a ON a.r = st.k JOIN ie b ON b.r = st.m)"""
+
+
+@reg.query("C5", f"WITH RECURSIVE {EV_SQL}, {groups_sql('ev', 0.3)} SELECT id, leader FROM lg")
 def threshold_groups(t):
     return clusters.threshold_groups(vectors_in(t).select("id", "vec"), 0.3)
 
@@ -178,12 +195,17 @@ def mutual_knn_components(t):
     return clusters.mutual_knn_components(vectors_in(t).select("id", "vec"), 5, 0.25)
 
 
-@reg.query("C7")
+@reg.query("C7", f"WITH RECURSIVE {EV_SQL}, {seeds_sql(0.3)} SELECT i, j FROM sd")
 def seed_pairs(t):
     return clusters.seed_pairs(vectors_in(t).select("id", "vec"), 0.3)
 
 
-@reg.query("C8")
+ORPHAN_SQL = f"""WITH RECURSIVE {EV_SQL}, {seeds_sql(0.65)}, rs AS MATERIALIZED (SELECT * FROM ev WHERE id NOT IN (SELECT i FROM sd UNION ALL SELECT j FROM sd)), {groups_sql('rs', 0.3)},
+pl AS (SELECT unnest([i, j]) AS id, i AS topic_key, 'seed' AS origin FROM sd UNION ALL SELECT id, leader, 'cluster' FROM (SELECT *, count(*) OVER (PARTITION BY leader) AS n FROM lg) WHERE n >= 2)
+SELECT ev.id, topic_key, coalesce(origin, 'buffer') AS origin FROM ev LEFT JOIN pl USING (id)"""
+
+
+@reg.query("C8", ORPHAN_SQL)
 def orphan_flow(t):
     return clusters.orphan_flow(vectors_in(t).select("id", "vec"), 0.65, 0.3, 2)
 
