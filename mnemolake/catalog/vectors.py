@@ -190,7 +190,11 @@ def density_clusters(t):
     return density.density_clusters(vectors_in(t).select("id", "vec"), 3)
 
 
-@reg.query("C6")
+@reg.query("C6", f"""WITH RECURSIVE {EV_SQL}, nb AS (SELECT a.id AS q, b.id, round({COS.format(a='a.vec', b='b.vec')}, 6) AS c FROM ev a JOIN ev b ON a.id <> b.id),
+kn AS MATERIALIZED (SELECT q, id FROM nb WHERE c >= 0.25 QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, id) <= 5),
+ed AS MATERIALIZED (SELECT x.q AS a, x.id AS b FROM kn x JOIN kn y ON x.q = y.id AND x.id = y.q),
+rc(n, r) AS (SELECT a, a FROM ed UNION SELECT rc.n, ed.b FROM rc JOIN ed ON ed.a = rc.r)
+SELECT n AS id, min(r) AS component FROM rc GROUP BY n""")
 def mutual_knn_components(t):
     return clusters.mutual_knn_components(vectors_in(t).select("id", "vec"), 5, 0.25)
 

@@ -283,5 +283,5 @@ def test_every_query_has_a_twin_or_a_reason():
     # the optional training-data part lists its own
     no_sql = (set(e.queries()) - set(e.oracle_sql())) & set(all_queries())
     assert no_sql == {
-        "ann_with_fallback", "mutual_knn_components", "recall_trace", "embedding_outcomes",
+        "ann_with_fallback", "recall_trace", "embedding_outcomes",
     }
