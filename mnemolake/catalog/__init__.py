@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("pairing", "cleaning", "identity", "sessions", "lexical", "vectors", "fusion", "indexing", "upkeep", "lineage", "evaluation", "imports")
+FAMILIES = ("pairing", "cleaning", "identity", "sessions", "lexical", "vectors", "fusion", "indexing", "upkeep", "lineage", "evaluation", "imports", "streams")
 
 
 def all_queries():

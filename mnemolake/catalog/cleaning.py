@@ -145,9 +145,9 @@ def oob_payloads(t):
     return planted(t, OOB, 5).select("doc_id", F.md5(C.oob_payload(F.col("c"))).alias("payload"))
 
 
-@reg.query("P13", "SELECT count(*) AS rows_with_nul, sum(length(text)) AS chars FROM (SELECT doc_id, text FROM documents WHERE doc_id % 4 = 1)")
+@reg.query("P13", "SELECT count(*) AS rows_with_nul, sum(length(text)) AS chars FROM documents")
 def nul_sanitize(t):
-    d = t.documents.filter("doc_id % 4 = 1").select("doc_id", F.concat(F.lit("\x00"), "text", F.lit("\x00")).alias("c"))
+    d = t.documents.select("doc_id", F.concat(F.lit("\x00"), "text", F.lit("\x00")).alias("c"))
     return d.agg(F.count_if(C.had_nul(F.col("c"))).alias("rows_with_nul"), F.sum(F.length(C.remove_nul(F.col("c")))).alias("chars"))
 
 
@@ -175,10 +175,10 @@ def timestamps_normalised(t):
     )
 
 
-@reg.query("P15", f"SELECT doc_id, md5(CASE WHEN {strip_sql('text[1:50]')} = '' THEN '' ELSE {strip_sql('text[1:50]')} || chr(10) || chr(10) END || source) AS joined FROM documents")
+@reg.query("P15", f"SELECT doc_id, md5(CASE WHEN {strip_sql('text')} = '' THEN '' ELSE {strip_sql('text')} || chr(10) || chr(10) END || source) AS joined FROM documents")
 def text_blocks(t):
     blocks = F.array(
-        F.struct(F.lit("text").alias("type"), F.substring("text", 1, 50).alias("text")),
+        F.struct(F.lit("text").alias("type"), F.col("text").alias("text")),
         F.struct(F.lit("image").alias("type"), F.lit("ignored").alias("text")),
         F.struct(F.lit("text").alias("type"), F.lit("  ").alias("text")),
         F.struct(F.lit("text").alias("type"), F.col("source").alias("text")),
@@ -237,7 +237,7 @@ def path_labels(t):
     return t.pages.select("page_id", C.path_label(F.col("url"), "page").alias("l")).select("page_id", "l.kind", "l.leaf", "l.hash12")
 
 
-TAG_LIST_SQL = """tg AS (SELECT doc_id, list_concat(list_concat(string_split(text[1:120], ' '), ['alpha beta gamma delta', '  padded  ', '中文标签超过八个字不要', '短标签', 'x' || chr(7) || 'y', ',edge!', 'a-tag-that-is-longer-than-thirty-characters']), string_split(text[1:20], ' ')) AS tags FROM documents)"""
+TAG_LIST_SQL = """tg AS (SELECT doc_id, list_concat(list_concat(string_split(text, ' '), ['alpha beta gamma delta', '  padded  ', '中文标签超过八个字不要', '短标签', 'x' || chr(7) || 'y', ',edge!', 'a-tag-that-is-longer-than-thirty-characters']), [source, ' alpha beta gamma delta', source]) AS tags FROM documents)"""
 
 
 def tag_lists(t):
@@ -246,7 +246,7 @@ def tag_lists(t):
         "a-tag-that-is-longer-than-thirty-characters",
     )])
     return t.documents.select(
-        "doc_id", F.concat(F.split(F.substring("text", 1, 120), " "), planted_tags, F.split(F.substring("text", 1, 20), " ")).alias("tags")
+        "doc_id", F.concat(F.split("text", " "), planted_tags, F.array("source", F.lit(" alpha beta gamma delta"), "source")).alias("tags")
     )
 
 

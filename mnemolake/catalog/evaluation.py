@@ -159,11 +159,11 @@ def gold_evidence(t):
     return E.resolve_evidence(cases, pairs).withColumn("gold", F.array_join("gold", "|"))
 
 
-@reg.query("J29", """WITH r AS (SELECT l_orderkey AS case_id, l_linenumber AS rank, l_partkey % 30 AS cand FROM lineitem), m AS (SELECT p_partkey AS cand, 'src' || p_partkey % 12 AS s FROM part WHERE p_partkey < 25),
+@reg.query("J29", """WITH r AS (SELECT l_orderkey AS case_id, l_linenumber AS rank, l_partkey AS cand FROM lineitem), m AS (SELECT p_partkey AS cand, 'src' || p_size AS s FROM part WHERE p_partkey % 6 <> 0),
 o AS (SELECT case_id, coalesce(s, CAST(r.cand AS VARCHAR)) AS s, min(rank) AS rank FROM r LEFT JOIN m USING (cand) GROUP BY 1, 2) SELECT case_id, string_agg(s, '|' ORDER BY rank, s) AS ranked FROM o GROUP BY 1""")
 def mapped_rankings(t):
-    r = t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 30).cast("string").alias("candidate_id"))
-    m = t.part.filter("p_partkey < 25").select(F.col("p_partkey").cast("string").alias("candidate_id"), F.concat(F.lit("src"), F.col("p_partkey") % 12).alias("source_id"))
+    r = t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").cast("string").alias("candidate_id"))
+    m = t.part.filter("p_partkey % 6 <> 0").select(F.col("p_partkey").cast("string").alias("candidate_id"), F.concat(F.lit("src"), F.col("p_size")).alias("source_id"))
     return E.map_ranking(r, m).withColumn("ranked", F.array_join("ranked", "|"))
 
 

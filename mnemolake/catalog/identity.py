@@ -32,12 +32,12 @@ def uid_or_hash_ids(t):
 _JS = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
 
 
-@reg.query("I4 I5 I6", f"""WITH m AS (SELECT doc_id, 'mem_' || sha256('{{"category":' || {_JS('lang')} || ',"content":' || {_JS('text[1:300]')} || ',"tags":' || CAST(to_json([source, lang, '标签"q']) AS VARCHAR) || ',"title":' || {_JS('source')} || '}}') AS mid FROM documents)
+@reg.query("I4 I5 I6", f"""WITH m AS (SELECT doc_id, 'mem_' || sha256('{{"category":' || {_JS('lang')} || ',"content":' || {_JS('text')} || ',"tags":' || CAST(to_json([source, lang, '标签"q']) AS VARCHAR) || ',"title":' || {_JS('source')} || '}}') AS mid FROM documents)
 SELECT doc_id, mid, 'rel_' || sha256('cor_' || sha256(mid)) AS rel, 'inv_' || sha256('cor_' || sha256(mid) || '|topic|' || doc_id) AS inv,
  't_' || substr(md5(doc_id || '|rebuild|' || 'cor_' || sha256(mid)), 1, 8) AS rebuilt, 't_' || substr(md5(mid), 1, 8) AS tid FROM m""")
 def memory_ids(t):
     d = t.documents
-    mid = I.memory_id(F.col("lang"), F.col("source"), F.substring("text", 1, 300), F.array("source", "lang", F.lit('标签"q')))
+    mid = I.memory_id(F.col("lang"), F.col("source"), F.col("text"), F.array("source", "lang", F.lit('标签"q')))
     m = d.select("doc_id", mid.alias("mid")).withColumn("cor", I.correction_id(F.col("mid")))
     doc = F.col("doc_id").cast("string")
     return m.select(
@@ -150,10 +150,10 @@ def memory_insert_once(t):
     )
 
 
-@reg.query("C1", """SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN true ELSE doc_id = min(CASE WHEN doc_id % 10 <> 0 THEN doc_id END) OVER (PARTITION BY lang, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text[1:8] END) END AS kept FROM documents""")
+@reg.query("C1", """SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN true ELSE doc_id = min(CASE WHEN doc_id % 10 <> 0 THEN doc_id END) OVER (PARTITION BY lang, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END) END AS kept FROM documents""")
 def title_dedup(t):
     d = t.documents.select(
-        F.col("doc_id").alias("id"), "lang", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.substring("text", 1, 8)).alias("title")
+        F.col("doc_id").alias("id"), "lang", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")).alias("title")
     )
     return dedupe.title_dedup(d, ["lang"]).select("id", "kept")
 

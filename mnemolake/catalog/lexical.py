@@ -178,7 +178,7 @@ def short_query_expansion(t):
 
 
 _KW_STOP = ",".join(q(w) for w in R.KEYWORD_STOPWORDS)
-KW_SQL = f"""kx AS (SELECT doc_id AS id, unnest(regexp_extract_all(source || ' ' || text[1:500], '[a-zA-Z][a-zA-Z0-9_-]{{2,}}')) AS keyword FROM documents {{where}}),
+KW_SQL = f"""kx AS (SELECT doc_id AS id, unnest(regexp_extract_all(source || ' ' || text, '[a-zA-Z][a-zA-Z0-9_-]{{2,}}')) AS keyword FROM documents {{where}}),
 kc AS (SELECT id, keyword, count(*) AS n FROM kx WHERE lower(keyword) NOT IN ({_KW_STOP}) GROUP BY 1, 2),
 kw AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, keyword) AS rank FROM kc QUALIFY rank <= 6)"""
 

@@ -157,14 +157,14 @@ def snapshot_window(t):
 
 # notes cover id ranges of very different width; points are line items
 RANGE_SQL = """rg AS (SELECT c_custkey AS note_id, c_custkey * 37 % 60000 AS lo, c_custkey * 37 % 60000 + CASE WHEN c_custkey % 50 = 0 THEN 20000 ELSE c_custkey % 90 END AS hi FROM customer),
-pt AS (SELECT DISTINCT l_orderkey AS qa_id FROM lineitem WHERE l_linenumber = 1)"""
+pt AS (SELECT DISTINCT l_orderkey AS qa_id FROM lineitem)"""
 
 
 def _ranges(t):
     c = F.col("c_custkey")
     lo = c * 37 % 60000
     rg = t.customer.select(c.alias("note_id"), lo.alias("lo"), (lo + F.when(c % 50 == 0, 20000).otherwise(c % 90)).alias("hi"))
-    return rg, t.lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("qa_id")).distinct()
+    return rg, t.lineitem.select(F.col("l_orderkey").alias("qa_id")).distinct()
 
 
 @reg.query("J18", f"WITH {RANGE_SQL} SELECT note_id, qa_id FROM rg JOIN pt ON qa_id >= lo AND qa_id < hi")
@@ -280,7 +280,7 @@ def rewritten_pairs(t):
 
 
 @reg.query("J24", """WITH c AS (SELECT conv_id, turn, text, 's' || conv_id AS session_id FROM conversations),
-dl AS (SELECT session_id, conv_id, turn, CASE WHEN turn % 12 = 5 THEN substr(text, 3, 40) ELSE text END AS content FROM c WHERE turn % 6 = 5),
+dl AS (SELECT session_id, conv_id, turn, CASE WHEN turn % 12 = 5 THEN substr(text, 3) ELSE text END AS content FROM c WHERE turn % 6 = 5),
 qa AS (SELECT conv_id, turn, session_id, CASE conv_id % 3 WHEN 0 THEN 'qa_sync/h/' || session_id || '/' || turn WHEN 1 THEN 'qa_sync/other/' || session_id || '/' || turn ELSE 'old/' || session_id || '/' || turn END AS source_id, text AS answer FROM c),
 sg AS (SELECT DISTINCT session_id, trim(x, ' ' || chr(9) || chr(10) || chr(13)) AS seg FROM (SELECT session_id, unnest(string_split(content, chr(10))) AS x FROM dl) WHERE trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
 v AS (SELECT qa.*, CASE conv_id % 3 WHEN 0 THEN 'current' WHEN 1 THEN 'foreign' ELSE 'unscoped' END AS scope, turn % 6 = 5 AND turn % 4 <> 1 AS ev, EXISTS (SELECT 1 FROM sg WHERE sg.session_id = qa.session_id AND contains(qa.answer, seg)) AS tx FROM qa)
@@ -289,7 +289,7 @@ def contaminated_pairs(t):
     c = t.conversations.withColumn("session_id", F.concat(F.lit("s"), "conv_id"))
     ev = F.concat("conv_id", F.lit(":"), "turn")
     dl = c.filter("turn % 6 = 5").select(
-        "session_id", F.array(ev).alias("event_ids"), F.when(F.col("turn") % 12 == 5, F.substring("text", 3, 40)).otherwise(F.col("text")).alias("content")
+        "session_id", F.array(ev).alias("event_ids"), F.when(F.col("turn") % 12 == 5, F.expr("substring(text, 3)")).otherwise(F.col("text")).alias("content")
     )
     k = F.col("conv_id") % 3
     sid = F.when(k == 0, F.concat_ws("/", F.lit("qa_sync"), F.lit("h"), "session_id", "turn")).when(

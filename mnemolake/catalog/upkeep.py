@@ -71,9 +71,9 @@ def drained_candidates(t):
     return out.select("id", F.lit("moved").alias("place")).unionByName(stay.select("id", F.lit("buffer").alias("place"))).withColumnRenamed("id", "event_id")
 
 
-# facts: sentence-like lines of documents grouped under topics; some repeat, some hold others
-FACT_SQL = f"""fx AS (SELECT doc_id % 40 AS topic_id, doc_id * 10 + k AS fact_id, CASE k WHEN 0 THEN text[1:30] WHEN 1 THEN upper(text[5:20]) || '.' ELSE text[1:12] || ' (x)' END AS fact FROM documents, (SELECT unnest([0, 1, 2]) AS k)),
-tb AS (SELECT doc_id AS topic_id, text[1:400] AS body FROM documents WHERE doc_id < 40),
+# facts: every line of ten documents in a row is a fact of their topic, whose body is the first of the ten
+FACT_SQL = f"""fx AS (SELECT doc_id // 10 AS topic_id, doc_id * 100000 + i AS fact_id, CASE i % 3 WHEN 0 THEN line || '.' WHEN 1 THEN line ELSE '(' || line || ')' END AS fact FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+tb AS (SELECT doc_id // 10 AS topic_id, text AS body FROM documents WHERE doc_id % 10 = 0),
 fn AS (SELECT *, regexp_replace(lower(fact), {q(R.FACT_NORMALISE)}, '', 'g') AS n FROM fx),
 fb AS (SELECT fn.* FROM fn LEFT JOIN tb USING (topic_id) WHERE n <> '' AND NOT coalesce(contains(regexp_replace(lower(body), {q(R.FACT_NORMALISE)}, '', 'g'), n), false)),
 fr AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY fact_id) AS rn FROM fb),
@@ -84,14 +84,13 @@ kp(topic_id, rn, ids, ns) AS (SELECT topic_id, rn, [fact_id], [n] FROM fr WHERE
 
 def _facts(t):
     d = t.documents
-    k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
-    text = F.col("text")
-    f = d.select("doc_id", "text", k).select(
-        (F.col("doc_id") % 40).alias("topic_id"), (F.col("doc_id") * 10 + F.col("k")).alias("fact_id"),
-        F.when(F.col("k") == 0, F.substring(text, 1, 30)).when(F.col("k") == 1, F.concat(F.upper(F.substring(text, 5, 16)), F.lit(".")))
-        .otherwise(F.concat(F.substring(text, 1, 12), F.lit(" (x)"))).alias("fact"),
+    topic = F.floor(F.col("doc_id") / 10).alias("topic_id")
+    i = F.col("p") + 1
+    f = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select(
+        topic, (F.col("doc_id") * 100000 + i).alias("fact_id"),
+        F.when(i % 3 == 0, F.concat("line", F.lit("."))).when(i % 3 == 1, F.col("line")).otherwise(F.concat(F.lit("("), "line", F.lit(")"))).alias("fact"),
     )
-    tb = d.filter("doc_id < 40").select(F.col("doc_id").alias("topic_id"), F.substring("text", 1, 400).alias("body"))
+    tb = d.filter("doc_id % 10 = 0").select(topic, F.col("text").alias("body"))
     return tb, f
 
 
@@ -114,8 +113,8 @@ def fact_references(t):
     return topics.fact_refs(f, b)
 
 
-@reg.query("C18 P20", """WITH tp AS (SELECT doc_id AS topic_id, text[1:20] AS title, source AS summary, [lang] AS kw, text[1:50] AS body FROM documents WHERE doc_id % 3 <> 0),
-up AS (SELECT doc_id AS topic_id, 'new ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE 'sum ' || doc_id END AS summary, [source, lang] AS kw, 'fact ' || doc_id AS fact FROM documents WHERE doc_id % 2 = 0)
+@reg.query("C18 P20", """WITH tp AS (SELECT doc_id AS topic_id, text AS title, source AS summary, [lang] AS kw, text AS body FROM documents WHERE doc_id % 3 <> 0),
+up AS (SELECT doc_id AS topic_id, 'new ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE 'sum ' || doc_id END AS summary, [source, lang] AS kw, 'fact ' || text AS fact FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
 SELECT topic_id, CASE WHEN trim(coalesce(tp.title, ''), ' ' || chr(9) || chr(10)) <> '' THEN trim(tp.title, ' ' || chr(9) || chr(10)) ELSE up.title END AS title, CASE WHEN trim(coalesce(up.summary, '')) <> '' THEN up.summary ELSE tp.summary END AS summary,
  array_to_string(CASE WHEN tp.topic_id IS NULL THEN [source, lang] WHEN up.topic_id IS NULL THEN [lang] ELSE [lang, source] END, '|') AS keywords,
  md5(CASE WHEN up.topic_id IS NULL THEN tp.body WHEN tp.topic_id IS NULL OR trim(tp.body, ' ' || chr(9) || chr(10)) = '' THEN '- ' || fact ELSE tp.body || chr(10) || '- ' || fact END) AS body,
@@ -123,24 +122,24 @@ SELECT topic_id, CASE WHEN trim(coalesce(tp.title, ''), ' ' || chr(9) || chr(10)
 def topic_updates(t):
     d = t.documents
     tp = d.filter("doc_id % 3 <> 0").select(
-        F.col("doc_id").alias("topic_id"), F.substring("text", 1, 20).alias("title"), F.col("source").alias("summary"),
-        F.array("lang").alias("keywords"), F.substring("text", 1, 50).alias("body"),
+        F.col("doc_id").alias("topic_id"), F.col("text").alias("title"), F.col("source").alias("summary"),
+        F.array("lang").alias("keywords"), F.col("text").alias("body"),
     )
-    up = d.filter("doc_id % 2 = 0").select(
+    up = d.filter("doc_id % 2 = 0 or doc_id % 3 = 0").select(
         F.col("doc_id").alias("topic_id"), F.concat(F.lit("new "), "doc_id").alias("title"),
         F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.concat(F.lit("sum "), "doc_id")).alias("summary"),
-        F.array("source", "lang").alias("keywords"), F.array(F.concat(F.lit("fact "), "doc_id")).alias("facts"),
+        F.array("source", "lang").alias("keywords"), F.array(F.concat(F.lit("fact "), "text")).alias("facts"),
     )
     u = topics.apply_updates(tp, up)
     return u.withColumns({"keywords": F.array_join("keywords", "|"), "body": F.md5("body")})
 
 
-@reg.query("A24 U6", """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN doc_id ELSE doc_id - doc_id % 5 END AS t, lang, source, trim(text[1:60], ' ' || chr(9) || chr(10) || chr(13)) AS b FROM documents),
+@reg.query("A24 U6", """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN doc_id ELSE doc_id - doc_id % 5 END AS t, lang, source, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS b FROM documents),
 k AS (SELECT t, k, min(o) AS o FROM (SELECT t, lang AS k, doc_id * 2 AS o FROM m UNION ALL SELECT t, source, doc_id * 2 + 1 FROM m) GROUP BY 1, 2)
 SELECT m.t AS topic_id, md5(string_agg(b, chr(10) || chr(10) ORDER BY doc_id) FILTER (WHERE b <> '')) AS body, (SELECT string_agg(k.k, '|' ORDER BY k.o) FROM k WHERE k.t = m.t) AS keywords, CAST(count(*) AS INTEGER) AS merged_from FROM m GROUP BY m.t""")
 def merged_topics(t):
     d = t.documents
-    tp = d.select(F.col("doc_id").alias("topic_id"), F.col("source").alias("title"), F.substring("text", 1, 60).alias("body"), F.array("lang", "source").alias("keywords"))
+    tp = d.select(F.col("doc_id").alias("topic_id"), F.col("source").alias("title"), F.col("text").alias("body"), F.array("lang", "source").alias("keywords"))
     mapping = d.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("source_id"), (F.col("doc_id") - F.col("doc_id") % 5).alias("target_id"))
     m = topics.merge_topics(tp, mapping)
     return m.select("topic_id", F.md5("body").alias("body"), F.array_join("keywords", "|").alias("keywords"), "merged_from")
@@ -163,7 +162,9 @@ def topic_stats(t):
     return topics.topic_stats(tp, b)
 
 
-TITLE_SQL = "tt AS (SELECT doc_id AS id, ['数据湖治理','数据湖方案','方案数据','湖','治理方案 A','完全不同','数据湖治理和方案的超长标题名字','Spark 数据湖'][doc_id % 8 + 1] AS title FROM documents)"
+# titles: the last word of every document, its letters a to o written as Han characters
+TITLE_FROM, TITLE_TO = "abcdefghijklmno", "数据湖治理方案的完全不同标题名"
+TITLE_SQL = f"tt AS (SELECT doc_id AS id, translate(lower(string_split(text, ' ')[-1]), '{TITLE_FROM}', '{TITLE_TO}') AS title FROM documents)"
 
 
 @reg.query("C12", f"""WITH {TITLE_SQL}, u AS (SELECT title, min(id) AS id FROM tt WHERE length(title) <= 12 GROUP BY title),
@@ -171,8 +172,8 @@ c AS (SELECT *, regexp_replace(title, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g') AS
 g AS (SELECT id, title, list_distinct(string_split(z, '')) AS ch, list_distinct(list_filter(list_transform(range(1, length(title)), lambda i: substr(title, i, 2)), lambda s: regexp_full_match(s, '[\\x{{4e00}}-\\x{{9fff}}]{{2}}'))) AS gr FROM c)
 SELECT a.id, arg_max(b.id, (length(b.title), b.id)) AS folded_into FROM g a JOIN g b ON (length(b.title), b.id) > (length(a.title), a.id) AND len(list_intersect(a.gr, b.gr)) > 0 AND len(list_intersect(a.ch, b.ch)) >= 2 GROUP BY a.id""")
 def title_merges(t):
-    names = F.array(*[F.lit(x) for x in ("数据湖治理", "数据湖方案", "方案数据", "湖", "治理方案 A", "完全不同", "数据湖治理和方案的超长标题名字", "Spark 数据湖")])
-    return clusters.title_merges(t.documents.select(F.col("doc_id").alias("id"), F.get(names, (F.col("doc_id") % 8).cast("int")).alias("title")))
+    word = F.lower(F.element_at(F.split("text", " "), -1))
+    return clusters.title_merges(t.documents.select(F.col("doc_id").alias("id"), F.translate(word, TITLE_FROM, TITLE_TO).alias("title")))
 
 
 # notes mention topics; queries seed one or two topics
@@ -250,12 +251,12 @@ def heading_sections(t):
     return s.select("doc_id", "title", "slug", "line_start", "line_end", F.md5("body").alias("body"))
 
 
-@reg.query("S13", """WITH c AS (SELECT doc_id, '## A' || chr(10) || text || chr(10) || '## B' || chr(10) || 'short' || chr(10) || '## C ' || source || chr(10) || text[1:7000] AS c FROM documents),
+@reg.query("S13", """WITH c AS (SELECT doc_id, '## A' || chr(10) || text || chr(10) || '## B' || chr(10) || 'short' || chr(10) || '## C ' || source || chr(10) || text AS c FROM documents),
 p AS (SELECT doc_id, unnest(string_split(c, chr(10) || '## ')) AS sec, generate_subscripts(string_split(c, chr(10) || '## '), 1) AS i FROM c),
 s AS (SELECT doc_id, i, trim(CASE WHEN i = 1 THEN sec ELSE '## ' || sec END, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM p)
 SELECT doc_id, trim(regexp_extract(body, '^##\\s+([^\\n]+)', 1))[1:100] AS section, md5(body[1:6000]) AS content FROM s WHERE length(body) >= 30""")
 def note_sections(t):
     from mnemolake.sources import markdown
 
-    d = t.documents.select("doc_id", F.concat(F.lit("## A\n"), "text", F.lit("\n## B\nshort\n## C "), "source", F.lit("\n"), F.substring("text", 1, 7000)).alias("c"))
+    d = t.documents.select("doc_id", F.concat(F.lit("## A\n"), "text", F.lit("\n## B\nshort\n## C "), "source", F.lit("\n"), "text").alias("c"))
     return markdown.note_sections(d, ["doc_id"], "c").select("doc_id", "section", F.md5("content").alias("content"))

@@ -99,9 +99,11 @@ def topic_lexical_score(matched_long_terms: Column) -> Column:
     return F.least(F.lit(0.5) + F.lit(0.15) * matched_long_terms, F.lit(1.5))
 
 
-def keyword_candidates(title: Column, content: Column) -> Column:
-    """P36 input: stop-worded CJK bigrams and Latin words of title plus 500 body characters."""
-    body = F.substring(F.coalesce(content, F.lit("")), 1, 500)
+def keyword_candidates(title: Column, content: Column, chars: int | None = None) -> Column:
+    """P36 input: stop-worded CJK bigrams and Latin words of title plus the body, or its first ``chars`` characters."""
+    body = F.coalesce(content, F.lit(""))
+    if chars is not None:
+        body = F.substring(body, 1, chars)
     head = strip(F.coalesce(title, F.lit("")))
     sample = F.when(head != "", F.concat(head, F.lit(" "), body)).otherwise(body)
     stop = F.array(*[F.lit(w) for w in R.KEYWORD_STOPWORDS])

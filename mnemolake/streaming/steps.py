@@ -28,6 +28,21 @@ def receipts(batch: DataFrame, store: DataFrame) -> DataFrame:
     ).drop("_first", "_known")
 
 
+def receipt_step(path: str):
+    """A ``foreachBatch`` function that writes the receipts of every batch, judged against the batches before it.
+
+    ``path`` holds one folder of receipts per batch; a replayed batch sees the earlier ones only and overwrites its own.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        given = batch.select(*KEY, "ord", "content")
+        like = given.select(*KEY, "ord").withColumns({"receipt": F.lit(""), "b": F.lit(0)})
+        earlier = read_or_empty(batch.sparkSession, path, like).filter((F.col("b") < batch_id) & (F.col("receipt") == "accepted"))
+        receipts(given, earlier).drop("content").write.mode("overwrite").parquet(f"{path}/b={batch_id}")
+
+    return step
+
+
 def latest_pairs(outputs: DataFrame) -> DataFrame:
     """Fold the processor's rows into one row per pair: the pair, then its late texts in order."""
     qa = outputs.filter(F.col("output") == "qa")

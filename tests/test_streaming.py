@@ -103,3 +103,16 @@ def test_trigger_and_raw_steps_survive_replay(spark, tmp_path):
     put(r1, 1)
     put(r1, 1)
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "raw")).collect()) == ["a", "b"]
+
+
+def test_receipts_of_batches_survive_replay(spark, tmp_path):
+    event = "host string, session_id string, ord long, event_id string, content string"
+    put = steps.receipt_step(str(tmp_path / "receipts"))
+    first = spark.createDataFrame([("h", "s", 1, "a", "x"), ("h", "s", 2, "b", " ")], event)
+    second = spark.createDataFrame([("h", "s", 3, "a", "x"), ("h", "s", 4, "b", "y"), ("h", "t", 5, "a", "x"), ("h", "s", 6, "b", "y")], event)
+    put(first, 0)
+    put(second, 1)
+    put(second, 1)
+    put(first, 0)
+    got = {r["ord"]: r["receipt"] for r in spark.read.parquet(str(tmp_path / "receipts")).collect()}
+    assert got == {1: "accepted", 2: "rejected", 3: "duplicate", 4: "accepted", 5: "accepted", 6: "duplicate"}
