@@ -13,8 +13,8 @@ retrieves every code within the radius. Retrieved rows are ranked by exact inner
 Rows and queries are dealt into blocks of bounded size and each pair of blocks is one task group, so
 neither side is ever collected and no bucket of the index can be hot. The radius is a parameter; without it,
 the exact neighbours of a few sample queries, found by one pass over all rows, set it so
-that ``keep`` of them lie within it. A query that retrieves fewer than k rows in a block compares
-the whole block. Every row is indexed.
+that ``keep`` of them lie within it. A query that retrieves fewer than k rows in all blocks together is
+asked again of all rows in a second, exact pass. Every row is indexed.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; ties go to the smaller id; rows with a query's own id are no candidates;
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.llm.blocks import QUERIES_PER_BLOCK, ROWS_PER_BLOCK, best, finite_vectors, is_query, matrix, usual_dims
 from mnemolake.llm.tables import parts_for, table
+from mnemolake.session import cut
 
 SAMPLE_ROWS = 8192
 SAMPLE_QUERIES = 64
@@ -141,10 +142,32 @@ def nearest(
         return np.array([r["id"] for r in got], np.int64), np.array([r["vec"] for r in got], np.float64).reshape(len(got), dims)
 
     coder = learn_coder(sample(rows, SAMPLE_ROWS, stats["n"])[1], stats["longest"])
-    n_bits = coder.turn.shape[1]
     if radius is None:
         radius = _calibrated(rows, coder, *sample(asked, SAMPLE_QUERIES, n_queries), k, keep)
-    n_row, n_query = parts_for(stats["n"], ROWS_PER_BLOCK), parts_for(n_queries, QUERIES_PER_BLOCK)
+    probed = cut(_block_hits(rows, stats["n"], asked, n_queries, k, dims, coder, radius))
+    short = cut(short_of(probed, asked, k))
+    n_short = short.count()
+    if not n_short:
+        return best(probed, k)
+    whole = _block_hits(rows, stats["n"], short, n_short, k, dims)
+    served = probed.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
+    return best(served.unionByName(whole), k)
+
+
+def short_of(hits: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Rows of ``asked(id, vec)`` for which all blocks together hold fewer than k of ``hits(query_id, vec_id, score)``."""
+    # repeated query rows get hits each
+    need = asked.groupBy("id").agg((F.count("*") * k).alias("need"))
+    held = hits.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("held"))
+    served = need.join(held, "id").filter("held >= need").select("id")
+    return asked.join(served, "id", "left_anti")
+
+
+def _block_hits(
+    rows: DataFrame, n_rows: int, asked: DataFrame, n_asked: int, k: int, dims: int, coder: Coder | None = None, radius: int = 0
+) -> DataFrame:
+    """At most k hits of every query in every block of rows, probed within the radius or, without a coder, compared with all rows."""
+    n_row, n_query = parts_for(n_rows, ROWS_PER_BLOCK), parts_for(n_asked, QUERIES_PER_BLOCK)
     salt = F.xxhash64("id", "vec", F.monotonically_increasing_id())
     blocks = lambda df, n, m, key: df.withColumn("b", F.pmod(salt, F.lit(n))).select(
         "id", "vec", F.explode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), key)).alias("cell")
@@ -156,18 +179,16 @@ def nearest(
         found: list[tuple[int, int, float]] = []
         if block.num_rows and queries.num_rows:
             ids, x = block.column("id").to_numpy(), matrix(block.column("vec"), dims)
-            index = MultiIndex(coder.codes(x), n_bits)
             q = matrix(queries.column("vec"), dims)
-            for query_id, vec, code in zip(queries.column("id").to_pylist(), q, coder.codes(q, query=True)):
-                at = index.within(code, radius)
+            index = MultiIndex(coder.codes(x), coder.turn.shape[1]) if coder else None
+            codes = coder.codes(q, query=True) if coder else [None] * len(q)
+            for query_id, vec, code in zip(queries.column("id").to_pylist(), q, codes):
+                at = index.within(code, radius) if index else np.arange(len(ids))
                 at = at[ids[at] != query_id]
-                if len(at) < k:
-                    at = np.flatnonzero(ids != query_id)
                 found += _hits(query_id, ids[at], exact_scores(x[at], vec), k)
         return pa.table(_result(found))
 
-    hits = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(search, "query_id long, vec_id long, score double")
-    return best(hits, k)
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(search, "query_id long, vec_id long, score double")
 
 
 def _calibrated(rows: DataFrame, coder: Coder, ids: np.ndarray, queries: np.ndarray, k: int, keep: float) -> int:
