@@ -574,7 +574,7 @@ def test_pipeline_against_brute_force(spark):
     model = langid.learn(docs.select("doc_id", "text", "lang").filter(~langid.held_out()))
     said = langid.predict_texts(model, [t for _, t in found])
     found = [d for d, (lang, score) in zip(found, said) if lang != "und" and score >= corpus_pipeline.LEAST_LANG_SCORE]
-    found = [(i, t) for i, t, gone in lines_brute(found) if not gone or t.strip(" ")]
+    found = [(i, t) for i, t, gone in passages_brute(found) if not gone or t.strip(" ")]
     found = [(i, t) for (i, t), (j, n, c) in zip(sorted(found, key=str), sorted(components_brute(sorted(found, key=str), 5, 80), key=str)) if n == 0 or i == c]
     tokenizer, want = Tokenizer.from_file(packing.default_model()), []
     for i, t in found:
