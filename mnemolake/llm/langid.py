@@ -347,6 +347,40 @@ def identify(docs: DataFrame, model: Model | None, id_cols: tuple[str, ...] = ("
     return picked.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+RUN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
+
+
+def text_runs(model: Model | None, text: str | None) -> list[dict]:
+    """Runs of neighbouring words of one most probable language: start, end (code points, end exclusive), lang, mean probability.
+
+    Words are those of the text as it stands, lower-cased one by one; null, empty or letterless texts have no run.
+    """
+    spans = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text or "")]
+    if model is None or not spans:
+        return []
+    words = [w for _, _, w in spans]
+    p = forward_backward(model.emissions(words), np.array([len(words)]), model.trans, model.start)
+    said = p.argmax(axis=1)
+    edges = [0, *(np.flatnonzero(np.diff(said)) + 1).tolist(), len(said)]
+    return [
+        {"start": spans[a][0], "end": spans[b - 1][1], "lang": model.labels[said[a]], "score": min(1.0, float(p[a:b, said[a]].mean()))}
+        for a, b in zip(edges[:-1], edges[1:])
+    ]
+
+
+def label_runs(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The languages inside every text, for code-switched ones: ``id_col`` and ``runs``, an array as of ``text_runs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [text_runs(model, t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, RUN)], names=[id_col, "runs"])
+
+    picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    kind = picked.schema[0].dataType.simpleString()
+    return picked.mapInArrow(run, f"`{id_col}` {kind}, runs array<struct<start: int, end: int, lang: string, score: double>>")
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from learning: crc32 of its id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
