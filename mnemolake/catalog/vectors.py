@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.catalog.base import Registry
 from mnemolake.functions import vec as V
-from mnemolake.operators import clusters, density, fusion, topics, vectors
+from mnemolake.operators import clusters, density, fusion, inverted_file, topics, vectors
 
 reg = Registry()
 
@@ -49,6 +49,15 @@ def ann_with_fallback(t):
     return vectors.ann_with_exact_fallback(queries_in(t), vectors_in(t).select("id", "vec"), 5, 0.3)
 
 
+@reg.query("J11", f"""WITH {EV_SQL}, s AS (SELECT e.vec_id AS query_id, ev.id, round({COS.format(a='e.embedding::DOUBLE[]', b='ev.vec')}, 6) AS cosine FROM embeddings e, ev),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM s WHERE cosine >= 0.9)
+SELECT * FROM k WHERE rank <= 5""")
+def inverted_file_copies(t):
+    """Near and exact copies of every vector, found in the few cells around it."""
+    index = inverted_file.build(vectors_in(t).select("id", "vec"))
+    return inverted_file.search(index, queries_in(t), 5, 0.9)
+
+
 @reg.query("A6 U1 U2 U3", f"""WITH {EV_SQL}, h AS (SELECT e.vec_id AS query_id, ev.id % 100000 AS id, CASE WHEN ev.id >= 100000 THEN 'child' ELSE 'parent' END AS kind, round({COS.format(a='e.embedding::DOUBLE[]', b='ev.vec')}, 6) AS cosine FROM embeddings e, ev),
 p AS (SELECT * FROM h WHERE cosine >= 0.25)
 SELECT query_id, id, max(cosine) AS cosine, array_to_string(list_sort(list(DISTINCT kind)), ',') AS source_kinds, count(*) AS candidates FROM p GROUP BY 1, 2""")

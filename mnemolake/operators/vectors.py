@@ -91,7 +91,7 @@ def top_k_cosine(
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
+            return pd.DataFrame({"query_id": [], "id": [], "cosine": []}, dtype=object)
         sims = np.round(_unit(_matrix(left["_qv"])) @ _unit(_matrix(right["_cv"])).T, 6)
         ids = right["id"].to_numpy()
         order_ids = np.argsort(ids, kind="stable")
@@ -104,9 +104,9 @@ def top_k_cosine(
             out_q += [qid] * hit.size
             out_id.append(ids[hit])
             out_s.append(row[hit])
-        return pd.DataFrame({
-            "query_id": out_q, "id": np.concatenate(out_id), "cosine": np.concatenate(out_s),
-        })
+        # no row above the floor: an untyped column, as ids may be text
+        found = {"query_id": out_q, "id": np.concatenate(out_id), "cosine": np.concatenate(out_s)}
+        return pd.DataFrame(found, dtype=None if out_q else object)
 
     local = q.groupBy("_cb", "_qb").cogroup(c.groupBy("_cb", "_qb")).applyInPandas(product, schema)
     best = W.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
