@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.catalog.base import EPOCH, Registry
 from mnemolake.session import ensure_checkpoint_dir
-from mnemolake.streaming import steps, turns
+from mnemolake.streaming import steps, triggers, turns
 
 reg = Registry()
 
@@ -96,3 +96,34 @@ def event_receipts(t):
     _finish(stream.writeStream.foreachBatch(steps.receipt_step(f"{folder}/out")), folder)
     got = t.spark.read.schema("session_id string, event_id string, ord long, receipt string").parquet(f"{folder}/out")
     return got.select(F.col("session_id").cast("long").alias("conv"), "event_id", "ord", "receipt")
+
+
+CHARS_AT, COUNT_AT, DEBOUNCE_MINUTES, IDLE_MINUTES = 2500, 5, 3, 240
+
+
+@reg.query("X5", f"""WITH RECURSIVE p AS (SELECT 'h' || (conv_id % 97) AS host, turn + 1 AS m, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY m) AS k, lead(m) OVER (PARTITION BY host ORDER BY m) AS nx FROM p),
+r AS (SELECT host, k, m, nx, n, chars, -1000000 AS free, CAST(NULL AS BIGINT) AS fired FROM w WHERE k = 1
+ UNION ALL SELECT s.host, w.k, w.m, w.nx, w.n + CASE WHEN s.due IS NULL THEN s.n ELSE 0 END, w.chars + CASE WHEN s.due IS NULL THEN s.chars ELSE 0 END,
+  coalesce(s.due + {DEBOUNCE_MINUTES}, s.free), s.due FROM (
+   SELECT *, CASE WHEN (nx IS NULL OR d < nx) THEN d END AS due FROM (SELECT *, CASE WHEN chars >= {CHARS_AT} OR n >= {COUNT_AT} THEN greatest(m, free) ELSE greatest(m + {IDLE_MINUTES}, free) END AS d FROM r)) s JOIN w ON w.host = s.host AND w.k = s.k + 1),
+f AS (SELECT *, CASE WHEN chars >= {CHARS_AT} THEN 'token' WHEN n >= {COUNT_AT} THEN 'count' ELSE 'pause' END AS reason, CASE WHEN chars >= {CHARS_AT} OR n >= {COUNT_AT} THEN greatest(m, free) ELSE greatest(m + {IDLE_MINUTES}, free) END AS d FROM r)
+SELECT host, CAST(({EPOCH} + d * 60) * 1000 AS BIGINT) AS fired_ms, reason, CAST(n AS BIGINT) AS n, CAST(chars AS BIGINT) AS chars FROM f WHERE nx IS NULL OR d < nx""")
+def live_trigger_firings(t):
+    """Every firing of 97 backlogs by size, count or idleness; turn ``i`` of a conversation comes in minute ``i``."""
+    folder = _folder(t, "triggers")
+    rows = t.conversations.select(
+        F.concat(F.lit("h"), (F.col("conv_id") % 97).cast("string")).alias("host"), F.col("conv_id").cast("string").alias("session_id"), "turn",
+        F.timestamp_seconds(F.lit(EPOCH) + F.col("turn") * 60).alias("ts"), F.lit("").alias("question"), F.col("text").alias("answer"),
+    )
+    # one row far behind the others moves the watermark past every idle timer
+    end = rows.agg((F.max("ts") + F.expr("interval 9 days")).alias("ts")).filter("ts is not null").select(
+        F.lit("end").alias("host"), F.lit("end").alias("session_id"), "ts", F.lit("").alias("question"), F.lit("").alias("answer"),
+    )
+    stream = _stream(t, [rows.filter("turn < 6").drop("turn"), rows.filter("turn >= 6").drop("turn"), end], folder)
+    out = triggers.live_triggers(
+        stream, "1 day", chars_at=CHARS_AT, count_at=COUNT_AT, new_session_at=1 << 60, idle_hours=IDLE_MINUTES / 60, debounce_minutes=DEBOUNCE_MINUTES
+    )
+    _finish(out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out"), folder)
+    got = t.spark.read.schema(triggers.OUTPUT).parquet(f"{folder}/out").filter("host <> 'end'")
+    return got.drop("sessions")
