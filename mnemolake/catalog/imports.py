@@ -182,3 +182,68 @@ def evaluation_files(t):
     rows = t.spark.read.json(f"{folder}/manifest").first()["results_rows"]  # the manifest is one row
     back = t.spark.read.schema("conv_id long, turn long, role string, n_chars long").json(f"{folder}/results")
     return back.withColumn("results_rows", F.lit(rows).cast("long"))
+
+
+MARKER_NOW = "2024-06-01 00:00:00"
+
+
+@reg.query("S16 A17", """SELECT item_id::VARCHAR AS job, CASE k WHEN 0 THEN 'recovered' WHEN 1 THEN 'poisoned' WHEN 2 THEN 'retryable' WHEN 3 THEN 'retry_due' WHEN 4 THEN 'pending' ELSE 'malformed' END AS status,
+ CASE k WHEN 5 THEN 'json_error' WHEN 6 THEN 'not_object' WHEN 7 THEN 'missing_job_id' WHEN 8 THEN 'missing_pending' WHEN 9 THEN 'oversize' END AS malformed_reason,
+ CASE WHEN k < 5 THEN 'q' || item_id::VARCHAR END AS question_id, CASE WHEN k < 4 THEN text END AS error_class, CASE WHEN k < 4 THEN 'v2' ELSE 'v1_legacy' END AS generation
+FROM (SELECT *, item_id % 10 AS k FROM benchmark)""")
+def failure_marker_scan(t):
+    """One marker file per benchmark item, in ten kinds: five sound ones, four malformed, one too large to open."""
+    b = t.benchmark.withColumn("k", F.col("item_id") % 10)
+    job = F.col("item_id").cast("string")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("recovered", "poisoned", "failed", "failed")]), (F.col("k") + 1).cast("int"))
+    retry = F.unix_timestamp(F.lit(MARKER_NOW)) + F.when(F.col("k") == 2, 60).otherwise(-60)
+    sound = F.to_json(F.struct(
+        job.alias("job_id"), F.struct(F.concat(F.lit("q"), job).alias("q_msg_id")).alias("pending"),
+        F.when(F.col("k") < 4, status).alias("embedding_status"), F.when(F.col("k") == 4, 0).otherwise(2).alias("embedding_attempts"),
+        F.when(F.col("k").isin(2, 3), retry).alias("embedding_next_retry_at"), F.when(F.col("k") < 4, F.col("text")).alias("error_class"),
+    ))
+    doc = (
+        F.when(F.col("k") < 5, sound).when(F.col("k") == 5, F.lit("{bad")).when(F.col("k") == 6, F.lit("[1]")).when(F.col("k") == 7, F.lit('{"pending": {}}'))
+        .when(F.col("k") == 8, F.to_json(F.struct(F.lit("j").alias("job_id")))).otherwise(F.repeat(F.lit("x"), 1 << 21))
+    )
+    path = _folder(t, "markers")
+    b.select(doc.alias("value"), job.alias("job")).write.partitionBy("job").text(path)
+    found = readers.failure_markers(t.spark, f"{path}/job=*/*.txt", F.lit(MARKER_NOW).cast("timestamp"))
+    name = F.regexp_extract("artifact", "job=([^/]+)/", 1)
+    return found.select(
+        name.alias("job"), "status", "malformed_reason", F.when(F.col("malformed_reason").isNull(), F.col("question_id")).alias("question_id"), "error_class", "generation"
+    )
+
+
+def _with_suffix(t, folder: str, suffix: str) -> None:
+    """Give the written files of ``folder`` another ending; only names change, on whatever store holds them."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(path(folder)):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            store.rename(status.getPath(), path(f"{folder}/{name.rsplit('.', 1)[0]}{suffix}"))
+
+
+SHAPE_SQL = "CASE conv_id % 5 WHEN 0 THEN 'normalized_jsonl' WHEN 1 THEN 'message_events' WHEN 2 THEN 'chat_md' WHEN 3 THEN 'peer_csv' ELSE 'unknown' END"
+
+
+@reg.query("S14", f"SELECT {SHAPE_SQL} AS shape, count(*) AS n_lines FROM conversations GROUP BY 1")
+def shape_census(t):
+    """Lines per detected shape over files of five shapes in one folder; header lines of tables do not count."""
+    one_line = F.translate(F.coalesce("text", F.lit("")), "\r\n\u0085\u2028\u2029", "     ")
+    rows = _rows(t).withColumns({"text": one_line, "k": F.col("sid").cast("long") % 5})
+    shapes = (
+        (0, ".jsonl", F.to_json(F.struct(F.col("sid").alias("session_id"), "role", F.col("text").alias("content"), F.col("turn").alias("ts")))),
+        (1, ".ndjson", F.to_json(F.struct(F.lit("message").alias("type"), F.col("eid").alias("id"), F.struct("role", F.col("text").alias("content")).alias("message")))),
+        (2, ".md", F.concat(F.when(F.col("role") == "user", "- \U0001f464 ").otherwise("- \U0001f916 "), "text")),
+        (4, ".log", F.col("text")),
+    )
+    path = _folder(t, "shapes")
+    for k, suffix, value in shapes:
+        rows.filter(F.col("k") == k).select(value.alias("value")).write.text(f"{path}/k{k}")
+        _with_suffix(t, f"{path}/k{k}", suffix)
+    rows.filter("k = 3").select("sid", F.col("role").alias("peer_name"), "text").write.option("header", True).csv(f"{path}/k3")
+    found = readers.detect_shapes(t.spark, f"{path}/*/part-*")
+    heads = F.when(F.col("shape") == "peer_csv", 1).otherwise(0)
+    return found.groupBy("shape").agg(F.sum(F.col("n_lines") - heads).alias("n_lines"))

@@ -349,11 +349,18 @@ def chat_markdown(spark: SparkSession, path: str, host: str = "chat_md") -> Data
 
 
 def detect_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """(artifact, shape, n_lines) from the name and the first line of each text file."""
-    x = lines(spark, path)
+    """(artifact, shape, n_lines) from the name and the first line of each text file.
+
+    Every line is read where it lies and only a few marks per file are shuffled; a dump's COPY line may stand anywhere. A file
+    without any line has no row.
+    """
+    x = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("artifact"), "value",
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")).alias("_at"),
+    )
     f = x.groupBy("artifact").agg(
-        F.min_by("value", "line_no").alias("first"), F.count("*").alias("n_lines"),
-        F.max(F.col("value").startswith("COPY public.messages") & (F.col("line_no") <= 400)).alias("_copy"),
+        F.min_by("value", "_at").alias("first"), F.count("*").alias("n_lines"),
+        F.max(F.col("value").startswith("COPY public.messages")).alias("_copy"),
         F.max(F.col("value").rlike(r"^- (?:👤|🧑|🤖|🦾)\s")).alias("_chat"),
     )
     name = F.lower(F.substring_index("artifact", "/", -1))
@@ -380,13 +387,16 @@ def census(shapes: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def failure_markers(spark: SparkSession, path: str, now: Column, recent_s: float = 86400, stale_s: float = 3600, max_bytes: int = 1 << 20) -> DataFrame:
-    """Failure-marker JSON files of two generations; bad files stay, with the reason."""
+    """Failure-marker JSON files of two generations; bad files stay, with the reason.
+
+    The filter on the length reaches the scan, so a file above ``max_bytes`` is listed but never opened.
+    """
     from mnemolake.operators import health
 
-    raw = spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("artifact"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length"),
-        F.decode("content", "UTF-8").alias("doc"),
-    )
+    files = spark.read.format("binaryFile").load(path)
+    named = [F.col("path").alias("artifact"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length")]
+    opened = files.filter(F.col("length") <= max_bytes).select(*named, F.decode("content", "UTF-8").alias("doc"))
+    raw = opened.unionByName(files.filter(F.col("length") > max_bytes).select(*named, F.lit(None).cast("string").alias("doc")))
     j = lambda p: F.get_json_object("doc", f"$.{p}")
     parsed = F.from_json("doc", "map<string,string>")
     reason = (

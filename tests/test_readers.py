@@ -185,3 +185,20 @@ def test_failure_markers(spark, tmp_path):
         "4": ("malformed", "missing_job_id"), "5": ("malformed", "missing_pending"), "6": ("pending", None),
     }
     assert rows["1"]["question_id"] == "q" and rows["1"]["generation"] == "v2"
+
+
+def test_large_markers_are_listed_but_not_opened(spark, tmp_path):
+    put(tmp_path, "1.json", [{"job_id": "j", "pending": {}, "embedding_attempts": 0, "pad": "x" * 4000}])
+    put(tmp_path, "2.json", [{"job_id": "k", "pending": {}, "embedding_attempts": 0}])
+    found = readers.failure_markers(spark, str(tmp_path), F.current_timestamp(), max_bytes=1000)
+    assert {r["artifact"][-6:-5]: (r["job_id"], r["malformed_reason"]) for r in found.collect()} == {"1": (None, "oversize"), "2": ("k", None)}
+    plan = found._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(length,1000)" in plan and "GreaterThan(length,1000)" in plan
+
+
+def test_copy_line_far_down_names_the_dump(spark, tmp_path):
+    put(tmp_path, "e.sql", ["-- x"] * 1000 + ["COPY public.messages (a) FROM stdin;"])
+    (tmp_path / "empty.jsonl").touch()
+    put(tmp_path, "blank.jsonl", [])
+    got = {r["artifact"].rsplit("/", 1)[1]: (r["shape"], r["n_lines"]) for r in readers.detect_shapes(spark, str(tmp_path)).collect()}
+    assert got == {"e.sql": ("copy_dump", 1001), "blank.jsonl": ("unknown", 1)}
