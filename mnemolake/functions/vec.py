@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """``x`` as engines round doubles: scaled in doubles, halves away from zero.
+
+    Spark's own ``round`` takes the shortest decimal form instead, which puts products such as 0.00465 * 0.05 below the half.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round(x * scale) / scale
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x

@@ -35,7 +35,7 @@ def fuse(ranked: DataFrame, k: int = R.RRF_K, path_k: int | None = None) -> Data
     inside = F.lit(True) if path_k is None else F.col("raw_rank") <= path_k
     part = part if path_k is None else F.when(inside, part).otherwise(0.0)
     return ranked.withColumn("contribution", part).groupBy(*HIT).agg(
-        F.round(F.sum("contribution"), 6).alias("rrf"),
+        V.rounded(F.sum("contribution")).alias("rrf"),
         F.max("cosine").alias("cosine"),
         F.max("created_at").alias("created_at"),
         F.count_if(inside).alias("votes"),
@@ -48,7 +48,7 @@ def decayed(fused: DataFrame, as_of: Column, days: float = R.DECAY_DAYS) -> Data
     factor = V.time_decay(age, days, R.DECAY_FLOOR)
     exempt = (F.col("kind") == "qa") | F.col("created_at").isNull()
     return fused.withColumn(
-        "score", F.when(exempt, F.col("rrf")).otherwise(F.round(F.col("rrf") * factor, 6))
+        "score", F.when(exempt, F.col("rrf")).otherwise(V.rounded(F.col("rrf") * factor))
     )
 
 
@@ -57,7 +57,7 @@ def rare_bonus(scored: DataFrame, rare: DataFrame) -> DataFrame:
     flagged = rare.select("query_id", "source_id").distinct().withColumn("_rare", F.lit(1))
     j = scored.join(flagged, ["query_id", "source_id"], "left")
     gain = F.when((F.col("kind") == "qa") & (F.col("_rare") == 1), R.RARE_BONUS).otherwise(0.0)
-    return j.withColumn("score", F.round(F.col("score") + gain, 6)).drop("_rare")
+    return j.withColumn("score", V.rounded(F.col("score") + gain)).drop("_rare")
 
 
 def promote_exact(scored: DataFrame, signals: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def promote_exact(scored: DataFrame, signals: DataFrame) -> DataFrame:
     )
     j = scored.join(top, HIT, "left")
     return j.withColumn(
-        "score", F.round(F.col("score") + F.when(F.col("_boost") == 1, R.EXACT_BOOST).otherwise(0.0), 6)
+        "score", V.rounded(F.col("score") + F.when(F.col("_boost") == 1, R.EXACT_BOOST).otherwise(0.0))
     ).withColumn("boosted", F.coalesce("_boost", F.lit(0))).drop("_boost")
 
 
