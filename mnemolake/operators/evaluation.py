@@ -22,15 +22,14 @@ def resolve_evidence(cases: DataFrame, pairs: DataFrame) -> DataFrame:
     ev = cases.select("case_id", "session_id", F.explode("evidence").alias("ev")).distinct()
     ok = F.col("ev").rlike(r"^[A-Za-z0-9_]+:[0-9]+$")
     good = ev.filter(ok)
-    same = good.join(pairs, (good.ev == pairs.message_id) & (good.session_id == pairs.session_id)).groupBy("case_id", "ev").agg(
-        F.min("source_id").alias("_s")
+    # one row per message before the joins: a message id that every session uses never meets all its sources in every case
+    here = pairs.groupBy("session_id", F.col("message_id").alias("ev")).agg(F.min("source_id").alias("_s"))
+    same = good.join(here, ["session_id", "ev"]).groupBy("case_id", "ev").agg(F.min("_s").alias("_s"))
+    anywhere = here.groupBy("ev").agg(F.min("_s").alias("_a"))
+    told = ev.join(same, ["case_id", "ev"], "left").join(anywhere, "ev", "left")
+    mapped = told.withColumn("source_id", F.when(ok, F.coalesce("_s", "_a"))).withColumn(
+        "state", F.when(~ok, "unresolved").when(F.col("source_id").isNull(), "unmapped").otherwise("mapped")
     )
-    anywhere = good.join(pairs.select("message_id", "source_id"), good.ev == F.col("message_id")).groupBy("case_id", "ev").agg(
-        F.min("source_id").alias("_a")
-    )
-    mapped = ev.join(same, ["case_id", "ev"], "left").join(anywhere, ["case_id", "ev"], "left").withColumn(
-        "source_id", F.coalesce("_s", "_a")
-    ).withColumn("state", F.when(~ok, "unresolved").when(F.col("source_id").isNull(), "unmapped").otherwise("mapped"))
     return cases.select("case_id").join(
         mapped.groupBy("case_id").agg(
             F.array_sort(F.collect_set("source_id")).alias("gold"),
