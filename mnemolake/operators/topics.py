@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,10 @@ from mnemolake import rules as R
 from mnemolake.functions import clean as C
 from mnemolake.functions import text as T
 from mnemolake.operators import clusters, lexical, ordered, vectors
+from mnemolake.session import cut
+
+# characters of one topic's facts that a task may solve by itself (an automaton takes some forty bytes a character)
+TOPIC_CHARS = 4 << 20
 
 
 def assign_by_vector(items: DataFrame, topics: DataFrame, floor: float, k: int, dims: int = 64) -> DataFrame:
@@ -91,27 +97,58 @@ def distinct_facts(topics: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts not already written in the topic body nor in an earlier kept fact.
 
     ``topics``: topic_id, body. ``facts``: topic_id, fact_id (order), fact.
-    Equal facts collapse first. Containment between two facts of a topic needs
-    the longer one to hold the first characters of the shorter, which is an
+    Equal facts collapse first. A topic of at most ``TOPIC_CHARS`` characters is solved by one task. For larger ones, containment between
+    two facts needs the longer one to hold the first characters of the shorter, which is an
     equi-join on (topic, gram); the scan order is then resolved as a greedy
     selection over those pairs.
     """
     f = facts.withColumn("_n", T.normalise_fact(F.col("fact"))).filter("_n <> ''")
     body = topics.select("topic_id", T.normalise_fact(F.col("body")).alias("_b"))
     f = f.join(body, "topic_id", "left").filter(~F.coalesce(F.col("_b").contains(F.col("_n")), F.lit(False))).drop("_b")
-    first = ordered.first_per_key(f, ["topic_id", "_n"], F.col("fact_id"))
-    holder = first.select(
-        "topic_id", F.col("fact_id").alias("_h"), F.col("_n").alias("_hn"),
-        F.explode(F.array_distinct(_windows(F.col("_n")))).alias("_g"),
-    )
-    small = first.select("topic_id", F.col("fact_id").alias("_s"), F.col("_n").alias("_sn"), F.substring("_n", 1, 4).alias("_g"))
+    first = cut(ordered.first_per_key(f.select("topic_id", "fact_id", "fact", "_n"), ["topic_id", "_n"], F.col("fact_id")))
+    size = first.groupBy("topic_id").agg(F.sum(F.length("_n") + 8).alias("_size"))
+    large = cut(size.filter(F.col("_size") > TOPIC_CHARS).select("topic_id"))
+    few = first.join(large, "topic_id", "left_anti")
+    cols = ["topic_id", "fact_id", "fact"]
+    schema = first.select(*cols).schema
+    kept = few.groupBy("topic_id").applyInPandas(lambda pdf: _kept_facts(pdf)[cols], schema)
+    if large.limit(1).count() == 0:
+        return kept
+    return kept.unionByName(_distinct_by_grams(first.join(large, "topic_id", "left_semi")).select(*cols))
+
+
+def _kept_facts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The facts of one topic that a scan in order keeps; one automaton of all facts tells which hold which."""
+    import ahocorasick
+
+    pdf = pdf.sort_values("fact_id")
+    texts = pdf["_n"].tolist()
+    automaton = ahocorasick.Automaton()
+    for i, text in enumerate(texts):
+        automaton.add_word(text, i)
+    automaton.make_automaton()
+    near: list[set[int]] = [set() for _ in texts]
+    for j, text in enumerate(texts):
+        for i in {i for _, i in automaton.iter(text)} - {j}:
+            near[max(i, j)].add(min(i, j))
+    kept = np.zeros(len(texts), dtype=bool)
+    for j, earlier in enumerate(near):
+        kept[j] = not any(kept[i] for i in earlier)
+    return pdf[kept]
+
+
+def _distinct_by_grams(first: DataFrame) -> DataFrame:
+    """The same for topics of any size, by joins; texts join the candidates last."""
+    anchors = first.select("topic_id", F.col("fact_id").alias("_s"), F.substring("_n", 1, 4).alias("_g"))
+    grams = first.select("topic_id", F.col("fact_id").alias("_h"), F.explode(F.array_distinct(_windows(F.col("_n")))).alias("_g"))
+    text = lambda name, n: first.select(F.col("fact_id").alias(name), F.col("_n").alias(n))
     pairs = (
-        holder.join(small, ["topic_id", "_g"])
-        .filter((F.col("_h") != F.col("_s")) & F.col("_hn").contains(F.col("_sn")))
+        grams.join(anchors, ["topic_id", "_g"]).filter(F.col("_h") != F.col("_s")).select("_h", "_s")
+        .join(text("_h", "_hn"), "_h").join(text("_s", "_sn"), "_s").filter(F.col("_hn").contains(F.col("_sn")))
         .select(F.least("_h", "_s").alias("i"), F.greatest("_h", "_s").alias("j")).distinct()
     )
     kept = clusters.greedy_leaders(first.select(F.col("fact_id").alias("id")), pairs)
-    return first.join(kept.withColumnRenamed("id", "fact_id"), "fact_id").select("topic_id", "fact_id", "fact")
+    return first.join(kept.withColumnRenamed("id", "fact_id"), "fact_id")
 
 
 def _windows(c: Column) -> Column:
