@@ -47,9 +47,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every run of two or more lines that stands earlier, in another document or the same one; documents of which no letter is left go."""
+    """Cut repeated content-defined chunks of lines and, by an exact pass, every other run of two or more lines that stands earlier, in another document or the same one; documents of which no letter is left go."""
     ready(spark)
-    out = linechunks.remove_repeated_passages(docs, count_col="_removed").withColumn("_changed", F.col("_removed") > 0)
+    out = linechunks.remove_chunks_and_passages(docs, count_col="_removed").withColumn("_changed", F.col("_removed") > 0)
     return _with_text(docs, out.filter(~F.col("_changed") | (F.trim("text") != "")))
 
 

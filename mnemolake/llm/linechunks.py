@@ -20,7 +20,7 @@ comes after all others; all columns and their order are kept, whatever their nam
 table gives an empty table. A document that loses all its lines keeps an empty text.
 
 Boundaries are sparse, so a passage inside different texts seldom is a chunk of its own.
-``remove_repeated_passages`` finds every one: all pairs of neighbouring lines take the place of the
+``remove_chunks_and_passages`` lets an exact pass follow, and ``remove_repeated_passages`` is that pass alone: all pairs of neighbouring lines take the place of the
 chunks, and a line goes when it lies in a pair that occurs earlier, in another document or in
 the same one without sharing a line with it. A run of two or more lines that stands
 earlier so goes as a whole, wherever it begins or ends; a line that goes stays where it stood first.
@@ -94,14 +94,21 @@ def document_chunks(rows: DataFrame, window: int, least: int, spacing: int) -> D
     return many.select("doc", "th", F.explode(let(F.split("text", "\n"), of_lines)).alias("c")).select("doc", "th", "c.*")
 
 
-def line_pairs(rows: DataFrame) -> DataFrame:
-    """Every two neighbouring lines of ``rows(doc, th, text)``, in the columns of ``document_chunks``; ``piece`` is the SHA-256 of their text."""
+def line_pairs(rows: DataFrame, skip: str | None = None) -> DataFrame:
+    """Every two neighbouring lines of ``rows(doc, th, text)``, in the columns of ``document_chunks``; ``piece`` is the SHA-256 of their text.
+
+    Pairs that lie within a stretch (first, last) of the array column ``skip`` are left out.
+    """
     def of_lines(lines: Column) -> Column:
         pieces = F.transform(F.slice(lines, 1, F.size(lines) - 1), lambda line, i: F.concat_ws("\n", line, F.get(lines, i + 1)))
         return F.transform(pieces, lambda p, i: F.struct((i + 1).alias("first"), (i + 2).alias("last"), F.xxhash64(p).alias("hash"), p.alias("piece")))
 
     many = rows.filter(F.instr("text", "\n") > 0)
-    found = many.select("doc", "th", F.explode(let(F.split("text", "\n"), of_lines)).alias("c")).select("doc", "th", "c.*")
+    pairs = let(F.split("text", "\n"), of_lines)
+    if skip:
+        inside = lambda c: F.exists(F.col(skip), lambda s: (c["first"] >= s["first"]) & (c["last"] <= s["last"]))
+        pairs = F.filter(pairs, lambda c: ~F.coalesce(inside(c), F.lit(False)))
+    found = many.select("doc", "th", F.explode(pairs).alias("c")).select("doc", "th", "c.*")
     # every line stands in two pairs: their texts would be shuffled twice
     return found.withColumn("piece", F.unhex(F.sha2("piece", 256)))
 
@@ -146,6 +153,23 @@ def remove_repeated_passages(docs: DataFrame, count_col: str | None = None) -> D
     return _without(docs, lambda rows: repeated_pieces(line_pairs(rows), 2), count_col)
 
 
+def repeated_chunks_and_passages(rows: DataFrame) -> DataFrame:
+    """Occurrences to remove from ``rows(doc, th, text)``: all repeated chunks, then the repeated passages that chunks miss.
+
+    A chunk that goes lies in passages that stand earlier, so no pair of its lines is a first occurrence: the exact pass
+    reads only the pairs that reach beyond the removed chunks, and both together find what the pass alone would.
+    """
+    chunks = cut(repeated_chunks(rows).distinct())
+    gone = chunks.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("first", "last")).alias("skip"))
+    marked = rows.join(gone, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left").select("doc", "th", "text", "skip")
+    return chunks.unionByName(repeated_pieces(line_pairs(marked, "skip"), 2))
+
+
+def remove_chunks_and_passages(docs: DataFrame, count_col: str | None = None) -> DataFrame:
+    """``docs`` without repeated content-defined chunks and, by the exact pass that follows, without any other run of two or more lines that stands earlier."""
+    return _without(docs, repeated_chunks_and_passages, count_col)
+
+
 def _without(docs: DataFrame, find: Callable[[DataFrame], DataFrame], count_col: str | None) -> DataFrame:
     # names are replaced while the work goes on, so that no column of the input can clash
     names = docs.columns
