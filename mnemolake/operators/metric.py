@@ -29,6 +29,8 @@ DRAWN_ROWS = 8192
 #: Rows of a cell, or visitors of one, that a task takes at once.
 BLOCK_ROWS = 2048
 TILE = 128
+#: Rows that a task measures against all pivots at once.
+PART_ROWS = 512
 #: Relative rounding of a distance that comes from scalar products.
 ROUNDING = 1e-6
 
@@ -79,6 +81,13 @@ class Cells:
         return np.maximum(np.maximum(ball, plane), 0.0) - ROUNDING * size
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``PART_ROWS`` rows, so that a task's tables of rows and pivots stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def block_of(id_col: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(id_col), blocks).cast("int")
 
@@ -109,7 +118,7 @@ def deal(rows: DataFrame, cell_rows: int | None = None) -> tuple[DataFrame, Cell
     at = names.index("vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             far = distances(as_matrix(batch.column(at), dims), pivots)
             cell = far.argmin(axis=1)
             columns = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(far)), cell])]
@@ -138,7 +147,7 @@ def visits(dealt: DataFrame, cells: Cells, wanted: Callable[[np.ndarray, np.ndar
     vec, home = names.index("vec"), names.index("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             own = batch.column(home).to_numpy()
             go = wanted(cells.least(as_matrix(batch.column(vec), cells.dims), own), own)
             offsets = np.concatenate([[0], np.cumsum(go.sum(axis=1))]).astype(np.int32)
