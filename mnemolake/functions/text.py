@@ -99,18 +99,18 @@ def topic_lexical_score(matched_long_terms: Column) -> Column:
     return F.least(F.lit(0.5) + F.lit(0.15) * matched_long_terms, F.lit(1.5))
 
 
-def keyword_candidates(title: Column, content: Column, chars: int | None = None) -> Column:
-    """P36 input: stop-worded CJK bigrams and Latin words of title plus the body, or its first ``chars`` characters."""
+def keyword_candidates(title: Column, content: Column, chars: int | None = None, stopped: bool = True) -> Column:
+    """P36 input: CJK bigrams and Latin words of title plus the body, or its first ``chars`` characters; ``stopped``: without stop words."""
     body = F.coalesce(content, F.lit(""))
     if chars is not None:
         body = F.substring(body, 1, chars)
     head = strip(F.coalesce(title, F.lit("")))
     sample = F.when(head != "", F.concat(head, F.lit(" "), body)).otherwise(body)
-    stop = F.array(*[F.lit(w) for w in R.KEYWORD_STOPWORDS])
     runs = F.regexp_extract_all(sample, F.lit(f"({R.CJK_BASIC_RUN})"), 1)
     cjk = F.flatten(F.transform(runs, lambda r: grams(r, 2)))
     latin = F.regexp_extract_all(sample, F.lit(f"({R.LATIN_KEYWORD})"), 1)
-    return F.filter(F.concat(cjk, latin), lambda w: ~F.array_contains(stop, F.lower(w)))
+    words = F.concat(cjk, latin)
+    return F.filter(words, lambda w: ~F.lower(w).isin(*R.KEYWORD_STOPWORDS)) if stopped else words
 
 
 def keyword_hygiene(tags: Column) -> Column:
