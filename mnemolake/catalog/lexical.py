@@ -81,10 +81,7 @@ def term_quota(t):
 ag AS (SELECT query_id, id, count(*) AS matched, min(freq) AS min_freq, count(*) FILTER (WHERE freq <= greatest(3, floor((SELECT count(*) FROM documents) * 0.01))) AS low_freq_terms FROM lg GROUP BY 1, 2)
 SELECT *, round(least(0.6 + 0.2 * matched + CASE WHEN min_freq <= 1 THEN 2.0 WHEN min_freq <= 3 THEN 0.8 WHEN min_freq <= 10 THEN 0.4 ELSE 0 END, 2.0), 6)::DOUBLE AS score FROM ag""")
 def qa_lexical_scores(t):
-    terms, docs, m = _matched(t)
-    freq = lexical.document_frequency(terms, m, "id")
-    total = docs.agg(F.count("*").alias("n")).scalar()
-    return lexical.qa_scores(terms, m, freq, total, "id")
+    return lexical.text_scores(lexical.query_terms(bench_queries(t)), corpus(t), "id", [F.col("text")])[0]
 
 
 TOPIC_SQL = "tp AS (SELECT doc_id AS id, text[1:40] AS title, source AS category, text[1:80] AS summary, text AS body, [lang, source || '-kw'] AS keywords, CASE WHEN doc_id % 5 = 0 THEN 'archived' ELSE 'active' END AS status, doc_id % 97 AS created_at FROM documents)"
