@@ -64,10 +64,8 @@ def recall(
     valid = lineage.suppress(named_items, ledger)
     qa = items.filter(F.col("kind") == "qa")
     terms = cut(lexical.query_terms(queries))
-    matches = cut(lexical.term_matches(terms, qa, "id", [F.col("text")], words_only=True))
-    freq = lexical.document_frequency(terms, matches, "id")
-    total = qa.agg(F.count("*").alias("n")).scalar()
-    signals = cut(lexical.qa_scores(terms, matches, freq, total, "id"))
+    signals, freq, matches = lexical.text_scores(terms, qa, "id", [F.col("text")])
+    signals = cut(signals)
     lex = signals.select("query_id", "id", F.col("score").alias("raw_score"), F.lit(0.0).alias("cosine"))
     lanes = [lex.withColumn("path", F.lit("keyword")), lex.withColumn("path", F.lit("qa_keyword"))]
     for kind, path in (("qa", "qa_vector"), ("topic", "topic_vector"), ("note", "note_vector")):
@@ -76,8 +74,8 @@ def recall(
     union = lanes[0]
     for lane in lanes[1:]:
         union = union.unionByName(lane)
-    ranked = fusion.ranked_paths(union.join(valid.select("id", "kind", "created_at", "source_id"), "id"))
-    scored = fusion.decayed(fusion.fuse(ranked, path_k=path_k), as_of)
+    hits = cut(union.join(valid.select("id", "kind", "created_at", "source_id"), "id"))
+    scored = fusion.decayed(fusion.fuse_best(hits, path_k), as_of)
     named = lambda d: d.withColumn("source_id", F.concat(F.lit("qa_"), F.col("id").cast("string")))
     rare = named(
         terms.join(freq.filter("freq between 1 and 3"), "term").join(matches, "term").select("query_id", "id").distinct()
