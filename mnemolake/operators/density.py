@@ -3,7 +3,7 @@
 With one neighbour as density (the setting of the job that this stands for) the mutual reachability distance of two items
 is their Euclidean distance. Three steps:
 
-1. **Edges that span.** Items live in metric balls (``metric``). Every block of a ball gives the minimum spanning tree of its own
+1. **Edges that span.** Many items whose balls would all meet are searched by products of blocks (``_tree_by_search``). Other items live in metric balls (``metric``). Every block of a ball gives the minimum spanning tree of its own
    items. Pivots are items, so the widest edge inside two balls and the widest one on the way between their pivots
    bound what can still join them: an item meets only balls that may hold something nearer, and
    a pair of blocks gives the minimum spanning forest of its cross edges. By the cycle rule all edges of the minimum spanning
@@ -20,18 +20,25 @@ Exact copies are one node of their number. Distances are rounded to six digits;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemolake.operators import metric, vectors
-from mnemolake.session import cut
+from mnemolake.session import cut, stored
 
 DIGITS = 6
 LEAST = 1e-6
+#: From so many rows, and if balls leave more than one pair in so many, all pairs are searched by products.
+SEARCH_ROWS, SEARCH_SHARE = 32_768, 8
+#: Nearest rows that a search returns for a row, rows of a block, and rows and columns that a task multiplies at once.
+NEAR, SEARCH_BLOCK_ROWS = 8, 131_072
+SEARCH_TILE_ROWS, SEARCH_TILE_COLS = 1024, 2048
 #: Edges that one task sorts and joins.
 BAND_EDGES = 1_000_000
 #: So many times that number make a band, if no connected part of it has more than one task takes.
@@ -95,6 +102,129 @@ def _way_between(points: np.ndarray) -> np.ndarray:
     return widest
 
 
+def _nearest(x: np.ndarray, xg: np.ndarray, y: np.ndarray, yg: np.ndarray, k: int, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, rows of y), each (rows of x, k): the nearest rows of y in another group, ties to the earlier row; inf, -1: no more.
+
+    ``alone``: no group has two rows. Single precision leaves out most; distances of what is left are taken in doubles.
+    """
+    best, of = np.full((len(x), k), np.inf), np.full((len(x), k), -1, np.int64)
+    middle = y.mean(axis=0)
+    a, b = x - middle, y - middle
+    size = math.sqrt(max((a * a).sum(axis=1).max(), (b * b).sum(axis=1).max())) or 1.0
+    a, b = (a / size).astype(np.float32), (b / size).astype(np.float32)
+    slack, step = 4 * (1e-6 + 2e-7 * x.shape[1]), 2 * 10.0**-DIGITS / size
+    # a product of these rows is minus the squared distance
+    one = lambda m: np.ones((len(m), 1), np.float32)
+    square = lambda m: (m * m).sum(axis=1, keepdims=True)
+    a, b = np.hstack([2 * a, -square(a), -one(a)]), np.hstack([b, one(b), square(b)])
+    for at in range(0, len(x), SEARCH_TILE_ROWS):
+        end = min(at + SEARCH_TILE_ROWS, len(x))
+        part, group, least = a[at:end], xg[at:end], np.full(end - at, -np.inf, np.float32)
+        for start in range(0, len(y), SEARCH_TILE_COLS):
+            near = part @ b[start:start + SEARCH_TILE_COLS].T
+            if not alone:
+                near[group[:, None] == yg[None, start:start + SEARCH_TILE_COLS]] = -np.inf
+            if start == 0 and near.shape[1] > k + 1:
+                # the k-th best of the first rows, but itself, is a bound from the start
+                far = np.sqrt(np.maximum(slack - np.partition(near, -k - 1, axis=1)[:, -k - 1], 0.0)) + step
+                least = -far * far - np.float32(slack)
+            some = np.flatnonzero(near.max(axis=1) >= least)
+            r, c = np.divmod(np.flatnonzero(near[some] >= least[some][:, None]), near.shape[1])
+            r, c = some[r], c + start
+            other = group[r] != yg[c]
+            r, c = r[other], c[other]
+            gap = x[at + r] - y[c]
+            w = np.round(np.sqrt((gap * gap).sum(axis=1)), DIGITS)
+            met = np.unique(r)
+            r = np.concatenate([np.repeat(met, k), r])
+            c, w = np.concatenate([of[at + met].ravel(), c]), np.concatenate([best[at + met].ravel(), w])
+            order = np.lexsort((c, w, r))
+            r, c, w = r[order], c[order], w[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            best[at + met], of[at + met] = w[first].reshape(-1, k), c[first].reshape(-1, k)
+            far = best[at + met, -1] / size + step
+            least[met] = np.maximum(least[met], -far * far - slack)
+    return best, of
+
+
+def _search(asked: DataFrame, rows: DataFrame, k: int, alone: bool) -> DataFrame:
+    """(i, j, w, place): the ``k`` nearest rows of other groups for every asked row; both sides are (id, v, g), v as bytes."""
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) and len(right):
+            right = right.sort_values("id")
+            x, y = vectors.unpacked(left["_qv"]), vectors.unpacked(right["_cv"])
+            # rows with odd components link with nothing
+            fine, sound = np.isfinite(x).all(axis=1), np.isfinite(y).all(axis=1)
+            group = pd.factorize(pd.concat([left["_qg"], right["_cg"]]))[0].astype(np.int32)
+            if fine.any() and sound.any():
+                w, of = _nearest(x[fine], group[:len(x)][fine], y[sound], group[len(x):][sound], k, alone)
+                r, c = np.nonzero(of >= 0)
+                return pd.DataFrame({"i": left["query_id"].to_numpy()[fine][r], "j": right["id"].to_numpy()[sound][of[r, c]], "w": w[r, c]})
+        return pd.DataFrame({"i": [], "j": [], "w": []}, dtype=object)
+
+    named = lambda df, key, p: df.select(F.col("id").alias(key), F.col("v").alias(f"_{p}v"), F.col("g").alias(f"_{p}g"))
+    q, c = vectors._crossed(named(asked, "query_id", "q"), named(rows, "id", "c"), SEARCH_BLOCK_ROWS)
+    found = q.groupBy("_cb", "_qb").cogroup(c.groupBy("_cb", "_qb")).applyInPandas(product, f"i {id_type}, j {id_type}, w double")
+    return found.withColumn("place", F.row_number().over(W.partitionBy("i").orderBy("w", "j"))).filter(F.col("place") <= k)
+
+
+def _roots(picked: DataFrame) -> DataFrame:
+    """(g, root) where every group points to another one and only two of them can point in a circle."""
+    back = picked.select(F.col("to").alias("g"), F.col("g").alias("to"), F.lit(True).alias("both"))
+    at = stored(picked.join(back, ["g", "to"], "left").select("g", F.when(F.col("both") & (F.col("g") < F.col("to")), F.col("g")).otherwise(F.col("to")).alias("root")))
+    while True:
+        after = at.select(F.col("g").alias("root"), F.col("root").alias("after"))
+        at = stored(at.join(after, "root", "left").select("g", F.coalesce("after", "root").alias("root"), (F.col("after") != F.col("root")).alias("moved")))
+        if at.filter("moved").limit(1).count() == 0:
+            return at.select("g", "root")
+        at = at.select("g", "root")
+
+
+def _tree_by_search(rows: DataFrame, k: int | None = None) -> DataFrame:
+    """(i, j, w) of ``rows(id, vec)``: the edges of the minimum spanning tree in the order (w, i, j).
+
+    Every row lists its nearest rows of other groups (at first each row is a group). The least edge that leaves a group
+    is one of the tree; lists tell it, unless a row whose list lies inside its own group may have something nearer than all the group knows.
+    Groups join by these edges until lists tell none; then used-up rows of all groups but the largest search again.
+    """
+    k = k or NEAR
+    rows = stored(rows.select("id", vectors.as_bytes("vec").alias("v")))
+    label = stored(rows.select("id", F.col("id").alias("g")))
+    asked, lists, full, trees = rows.join(label, "id"), None, None, []
+    alone = True
+    while True:
+        found = stored(_search(asked, rows.join(label, "id"), k, alone))
+        ends = found.filter(F.col("place") == k).select("i", F.col("w").alias("reach"))
+        found = found.select("i", "j", "w")
+        lists = found if lists is None else lists.select("i", "j", "w").unionByName(found)
+        full = ends if full is None else full.join(asked.select(F.col("id").alias("i")), "i", "left_anti").unionByName(ends)
+        full, alone, joined = stored(full), False, False
+        while True:
+            of = lambda end, name: label.select(F.col("id").alias(end), F.col("g").alias(name))
+            lists = stored(lists.select("i", "j", "w").join(of("i", "g"), "i").join(of("j", "to"), "j").filter(F.col("g") != F.col("to")))
+            edge = F.struct("w", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "to")
+            least = lists.groupBy("g").agg(F.min(edge).alias("edge"))
+            used = full.join(lists.select("i").distinct(), "i", "left_anti").join(of("i", "g"), "i")
+            known = used.groupBy("g").agg(F.min("reach").alias("reach"))
+            picked = stored(least.join(known, "g", "left").filter(F.col("reach").isNull() | (F.col("edge.w") < F.col("reach"))).select("g", "edge.*"))
+            if picked.limit(1).count() == 0:
+                break
+            joined = True
+            trees.append(picked.select("i", "j", "w").distinct())
+            label = stored(label.join(_roots(picked.select("g", "to")), "g", "left").select("id", F.coalesce("root", "g").alias("g")))
+        largest = label.groupBy("g").count().orderBy(F.desc("count"), "g").first()["g"]
+        open_rows = used.join(least, "g", "left").filter((F.col("g") != F.lit(largest)) & (F.col("edge").isNull() | (F.col("reach") <= F.col("edge.w"))))
+        asked = stored(rows.join(open_rows.select(F.col("i").alias("id"), "g"), "id"))
+        if not joined or asked.limit(1).count() == 0:
+            break
+    edges = trees[0] if trees else rows.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("w")).limit(0)
+    for more in trees[1:]:
+        edges = edges.unionByName(more)
+    return edges
+
+
 def spanning_edges(rows: DataFrame) -> DataFrame:
     """(i, j, w) of ``rows(id, vec)``, different vectors: all edges of the minimum spanning tree and few others."""
     id_type = rows.schema["id"].dataType.simpleString()
@@ -128,6 +258,9 @@ def spanning_edges(rows: DataFrame) -> DataFrame:
     # both ends of a pair of cells must be able to meet, or neither goes
     ball = metric.distances(cells.pivots, cells.pivots) - cells.radii[:, None] - cells.radii[None, :]
     meets = (ball <= most + margin + metric.ROUNDING * np.abs(cells.pivots).max(initial=0.0)) & other
+    n = int(cells.counts.sum())
+    if n >= SEARCH_ROWS and float(cells.counts @ meets.astype(np.float64) @ cells.counts) * SEARCH_SHARE > float(n) * n:
+        return _tree_by_search(rows)
     going = metric.visits(dealt, cells, lambda least, home: meets[home] & (least <= most[home] + margin))
     n_blocks = metric.per_cell(blocks, F.col("other"))
     side = F.col("cell") < F.col("other")
