@@ -39,6 +39,8 @@ SEARCH_ROWS, SEARCH_SHARE = 32_768, 8
 #: Nearest rows that a search returns for a row, rows of a block, and rows and columns that a task multiplies at once.
 NEAR, SEARCH_BLOCK_ROWS = 8, 131_072
 SEARCH_TILE_ROWS, SEARCH_TILE_COLS = 1024, 2048
+#: Columns of which the best bounds a row from the start, groups or clusters whose links the driver follows by itself.
+BOUND_COLS, KNOWN_ROWS = 16, 200_000
 #: Edges that one task sorts and joins.
 BAND_EDGES = 1_000_000
 #: So many times that number make a band, if no connected part of it has more than one task takes.
@@ -124,9 +126,11 @@ def _nearest(x: np.ndarray, xg: np.ndarray, y: np.ndarray, yg: np.ndarray, k: in
             near = part @ b[start:start + SEARCH_TILE_COLS].T
             if not alone:
                 near[group[:, None] == yg[None, start:start + SEARCH_TILE_COLS]] = -np.inf
-            if start == 0 and near.shape[1] > k + 1:
-                # the k-th best of the first rows, but itself, is a bound from the start
-                far = np.sqrt(np.maximum(slack - np.partition(near, -k - 1, axis=1)[:, -k - 1], 0.0)) + step
+            if start == 0 and near.shape[1] >= BOUND_COLS * (k + 1):
+                # among the first rows the k-th best of those that are best in their bunch, but itself, is a bound from the start
+                bunches = near.shape[1] // BOUND_COLS
+                tops = near[:, :bunches * BOUND_COLS].reshape(len(near), BOUND_COLS, bunches).max(axis=1)
+                far = np.sqrt(np.maximum(slack - np.partition(tops, -k - 1, axis=1)[:, -k - 1], 0.0)) + step
                 least = -far * far - np.float32(slack)
             some = np.flatnonzero(near.max(axis=1) >= least)
             r, c = np.divmod(np.flatnonzero(near[some] >= least[some][:, None]), near.shape[1])
@@ -172,6 +176,19 @@ def _search(asked: DataFrame, rows: DataFrame, k: int, alone: bool) -> DataFrame
 
 def _roots(picked: DataFrame) -> DataFrame:
     """(g, root) where every group points to another one and only two of them can point in a circle."""
+    if picked.count() <= KNOWN_ROWS:
+        pairs = picked.select("g", "to").toPandas()
+        g, to = pairs["g"].to_numpy(), pairs["to"].to_numpy()
+        names, place = np.unique(np.concatenate([g, to]), return_inverse=True)
+        own = np.arange(len(names))
+        up = own.copy()
+        up[place[:len(g)]] = place[len(g):]
+        # of two that point at each other the smaller one stays
+        up = np.where((up[up] == own) & (own < up), own, up)
+        while (up[up] != up).any():
+            up = up[up]
+        kind = picked.schema["g"].dataType.simpleString()
+        return picked.sparkSession.createDataFrame(pd.DataFrame({"g": g, "root": names[up[place[:len(g)]]]}), f"g {kind}, root {kind}")
     back = picked.select(F.col("to").alias("g"), F.col("g").alias("to"), F.lit(True).alias("both"))
     at = stored(picked.join(back, ["g", "to"], "left").select("g", F.when(F.col("both") & (F.col("g") < F.col("to")), F.col("g")).otherwise(F.col("to")).alias("root")))
     while True:
@@ -390,9 +407,11 @@ def density_clusters(items: DataFrame, min_cluster_size: int = 3) -> DataFrame:
     """
     if min_cluster_size < 2:
         raise ValueError("a cluster has two items at least")
-    id_type = items.schema["id"].dataType.simpleString()
-    reps, members = vectors.collapse_copies(vectors.usable(items.select("id", "vec"), "id", "vec"))
-    reps, members = cut(reps), cut(members)
+    rows = vectors.usable(items.select("id", "vec"), "id", "vec")
+    # one id may stand on several vectors: different vectors are nodes with numbers of their own, in the order of their smallest ids
+    reps = rows.groupBy("vec").agg(F.min("id").alias("_id"), F.count("*").alias("copies"))
+    reps = cut(reps.orderBy("_id", "vec").select(F.monotonically_increasing_id().alias("rep"), "vec", "copies"))
+    members, id_type = cut(rows.join(reps.select("vec", "rep"), "vec").select("id", "rep")), "bigint"
     own = F.col("copies") >= min_cluster_size
     # as many copies as a cluster needs are one from the start
     nodes = reps.select(
@@ -441,6 +460,19 @@ def density_clusters(items: DataFrame, min_cluster_size: int = 3) -> DataFrame:
 def _topmost(clusters: DataFrame) -> DataFrame:
     """(cluster, top): the highest chosen cluster at or above each one; null: none is chosen there."""
     t = cut(clusters.select("cluster", F.col("parent").alias("up"), F.when(F.col("wins"), F.col("cluster")).alias("top")))
+    if t.count() <= KNOWN_ROWS:
+        known = {r["cluster"]: (r["up"], r["top"]) for r in t.collect()}
+        tops: dict = {None: None}
+        for name in known:
+            way = []
+            while name not in tops:
+                way.append(name)
+                name = known[name][0]
+            for c in reversed(way):
+                up, top = known[c]
+                tops[c] = tops[up] if tops[up] is not None else top
+        rows = [(c, top) for c, top in tops.items() if c is not None]
+        return t.sparkSession.createDataFrame(rows, "cluster string, top string")
     while t.filter("up is not null").limit(1).count():
         above = t.select(F.col("cluster").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"))
         t = cut(t.join(above, "up", "left").select("cluster", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top")))
